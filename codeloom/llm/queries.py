@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontam, secrets_scan, simhash, toxicity
 from .common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe,)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_toxicity, op7_decontamination, op9_simhash, op10_secrets)}
+
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.SQL}

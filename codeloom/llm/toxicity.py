@@ -4,9 +4,9 @@ Training rows: up to ``POSITIVES`` confirmed toxic documents and up to ``UNLABEL
 population whose labels are hidden, both the first by a hash of doc_id. These two bounds are the only sampling; every
 document is scored. Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels are never read.
 
-Features are the distinct words (A-Z lower-cased, split at ASCII signs), hashed to 64 bits; those that occur in at
-least ``MIN_DF`` positives are ranked by how much likelier they are there than among the unlabelled, and the first
-``FEATURES`` are kept. A linear classifier is trained in numpy with the non-negative risk
+Features of a text are its distinct words (A-Z lower-cased, split at ASCII signs) and their byte ``GRAM``-grams with word
+ends marked, hashed to ``BITS`` bits; those that occur in at least ``MIN_DF`` positives and ``MIN_SHARE`` of them are
+ranked by how much likelier they are there than among the unlabelled, and the first ``FEATURES`` are kept. A linear classifier is trained in numpy with the non-negative risk
 ``prior * R_p+ + max(0, R_u- - prior * R_p-)``, whose gradient is reversed when the bracket is negative. The prior is the share of
 toxic rows among the training labels.
 
@@ -18,6 +18,7 @@ result; doc_id, lang, source, labels and other columns are no inputs of a score.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import discard, materialize, pick
 from .decontam import words
 
-POSITIVES, UNLABELLED = 6000, 12000
-MIN_DF, FEATURES = 3, 4000
-EPOCHS, RATE, DECAY = 400, 0.1, 1e-4
+POSITIVES, UNLABELLED = 4000, 8000
+MIN_DF, MIN_SHARE, FEATURES = 3, 0.02, 4000
+EPOCHS, RATE, DECAY = 1000, 0.1, 1e-5
 FOLDS = 5
+GRAM, BITS = 5, 30
 
 
 def held_out(doc_id):
@@ -50,85 +52,114 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]
     return pick(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id"), min(0.5, max(0.01, prior or 0.0))
 
 
-def _hashes(text: str | None) -> list[int]:
-    return [xxhash.xxh64_intdigest(w) for w in set(words(text))]
+def word_features(word: bytes) -> list[int]:
+    """The hashed features of one word: itself and its byte n-grams, ends marked."""
+    marked = b"^" + word + b"$"
+    own = [xxhash.xxh32_intdigest(marked) >> (32 - BITS)]
+    return own + [xxhash.xxh32_intdigest(marked[i : i + GRAM], 1) >> (32 - BITS) for i in range(len(marked) - GRAM + 1)]
 
 
-def features(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """The hashed words of each training row, and its kind."""
+def features(rows: DataFrame) -> DataFrame:
+    """``kind, features``: the distinct hashed features of each training row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.sort(np.array(_hashes(t.as_py()), np.uint64)).view(np.int64) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["kind", "words"])
+            out = [sorted({f for w in set(words(t.as_py())) for f in word_features(w)}) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["kind", "features"])
 
-    got = rows.select("text", "kind").mapInArrow(run, "kind int, words array<bigint>").toArrow()
+    return rows.select("text", "kind").mapInArrow(run, "kind int, features array<int>")
+
+
+def select(found: DataFrame) -> tuple[np.ndarray, int, int]:
+    """The chosen features, best first, and the numbers of positives and unlabelled rows."""
+    n = {r.kind: r.n for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = n.get(1, 0), n.get(0, 0)
+    if not n_p or not n_u:
+        return np.empty(0, np.int64), n_p, n_u
+    df = found.select("kind", F.explode("features").alias("f")).groupBy("f").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
+    lift = F.log((F.col("p") + 0.5) / (n_p + 1)) - F.log((F.col("u") + 0.5) / (n_u + 1))
+    best = df.where(F.col("p") >= max(MIN_DF, MIN_SHARE * n_p)).withColumn("lift", lift).where(F.col("lift") > float(np.log(2)))
+    top = best.orderBy((F.col("p") * F.col("lift")).desc(), "f").limit(FEATURES).select("f").collect()
+    return np.array([r.f for r in top], np.int64), n_p, n_u
+
+
+def design(found: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The training rows in coordinates: (row, column) of each chosen feature that occurs, and the kind of each row."""
+    order = np.argsort(chosen)
+    ranked = chosen[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for f in batch.column(1):
+                f = f.values.to_numpy()
+                at = np.searchsorted(ranked, f)
+                out.append(order[at[ranked[np.minimum(at, len(ranked) - 1)] == f]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["kind", "columns"])
+
+    got = found.mapInArrow(run, "kind int, columns array<int>").toArrow()
     lists = got.column(1).combine_chunks()
-    flat, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy()) if len(lists) else []
-    return np.split(flat, ends[:-1]) if len(ends) else [], got.column(0).to_numpy()
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(), got.column(0).to_numpy()
 
 
-def train(x: list[np.ndarray], kind: np.ndarray, prior: float) -> tuple[dict[int, float], float]:
-    """Weights by hashed word, and the bias."""
+def train(rows: np.ndarray, cols: np.ndarray, kind: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights by column, and the bias."""
     bias = float(np.log(prior / (1 - prior)))
-    if not (kind == 1).any() or not (kind == 0).any():
-        return {}, bias
-    doc = np.repeat(np.arange(len(x)), [len(i) for i in x])
-    word, inverse = np.unique(np.concatenate(x), return_inverse=True)
-    in_p = kind[doc] == 1
-    df_p = np.bincount(inverse[in_p], minlength=len(word))
-    df_u = np.bincount(inverse[~in_p], minlength=len(word))
-    n_p, n_u = (kind == 1).sum(), (kind == 0).sum()
-    lift = np.log((df_p + 0.5) / (n_p + 1)) - np.log((df_u + 0.5) / (n_u + 1))
-    gain = np.where((df_p >= MIN_DF) & (lift > np.log(2)), df_p * lift, 0)
-    top = np.lexsort((word, -gain))[:FEATURES]
-    top = top[gain[top] > 0]
-    column = np.full(len(word), -1)
-    column[top] = np.arange(len(top))
-    keep = column[inverse] >= 0
-    rows, cols = doc[keep], column[inverse][keep]
-    w, b = np.zeros(len(top)), bias
-    m, v = np.zeros(len(top) + 1), np.zeros(len(top) + 1)
     is_p = kind == 1
+    n_p, n_u, n = is_p.sum(), (~is_p).sum(), len(kind)
+    w, b = np.zeros(size), bias
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(rows, w[cols], len(x)) + b
+        z = np.bincount(rows, w[cols], n) + b
         s = sigmoid(z)  # the logistic loss of class 0 has the slope s, that of class 1 s - 1
         loss_neg = np.logaddexp(0, z)
         bracket = loss_neg[~is_p].mean() - prior * loss_neg[is_p].mean()
-        slope = np.zeros(len(x))
+        slope = np.zeros(n)
         if bracket >= 0:
             slope[is_p] = prior * (s[is_p] - 1) / n_p - prior * s[is_p] / n_p
             slope[~is_p] = s[~is_p] / n_u
         else:  # ascend on the bracket alone
             slope[is_p] = prior * s[is_p] / n_p
             slope[~is_p] = -s[~is_p] / n_u
-        g = np.r_[np.bincount(cols, slope[rows], len(top)) + DECAY * w, slope.sum()]
+        g = np.r_[np.bincount(cols, slope[rows], size) + DECAY * w, slope.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return dict(zip(word[top].tolist(), w.tolist())), float(b)
+        w, b = np.maximum(0, w - move[:-1]), b - move[-1]  # a word is evidence for the class, or none
+    return w, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
+    """Hashed feature to weight, and the bias."""
     rows, prior = training_rows(docs, labels)
-    return train(*features(rows), prior)
+    found = materialize(features(rows), "toxicity")
+    chosen, n_p, n_u = select(found)
+    if not len(chosen):
+        discard(found)
+        return {}, float(np.log(prior / (1 - prior)))
+    w, bias = train(*design(found, chosen), len(chosen), prior)
+    discard(found)
+    return {f: x for f, x in zip(chosen.tolist(), w.tolist()) if x > 0}, bias
 
 
 class Scores(dict):
-    """Word to weight; a memo of bounded size before the hashed weights."""
+    """Word to its weighted features; a memo of bounded size."""
 
     MOST = 400_000
 
-    def __init__(self, weights: dict[int, float]):
+    def __init__(self, weights: dict[int, float], bias: float):
         super().__init__()
-        self.weights = weights
+        self.weights, self.bias = weights, bias
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        own = self[word] = tuple([f for f in word_features(word) if f in self.weights])
+        return own
 
-    def __missing__(self, word: bytes) -> float:
+    def of(self, text: str | None) -> float:
         if len(self) > self.MOST:
             self.clear()
-        w = self[word] = self.weights.get(xxhash.xxh64_intdigest(word), 0.0)
-        return w
+        present = set(chain.from_iterable(map(self.__getitem__, set(words(text)))))
+        return self.bias + sum(map(self.weights.__getitem__, sorted(present)))
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], carry: dict[str, str] | None = None) -> DataFrame:
@@ -139,9 +170,9 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], carry: dict[st
     drop = not carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Scores(weights).__getitem__
+        of = Scores(weights, bias).of
         for batch in batches:
-            z = bias + np.array([sum(map(of, set(words(t.as_py())))) for t in batch.column(1)], float)
+            z = np.array([of(t.as_py()) for t in batch.column(1)], float)
             out = pa.array(0.5 * (1 + np.tanh(z / 2)))
             kept = [c for i, c in enumerate(batch.columns) if i != 1 or not drop]
             yield pa.RecordBatch.from_arrays([*kept, out], names=[n for i, n in enumerate(batch.schema.names) if i != 1 or not drop] + ["score"])

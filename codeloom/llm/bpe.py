@@ -222,27 +222,31 @@ def _worker_encoder(table: PerfectHash, pattern: str, plain: str) -> Encoder:
     return kept[key]
 
 
-def _map(docs: DataFrame, ranks_path: str, pattern: str, schema: str, columns) -> DataFrame:
-    """A vocabulary of the bound above is the only thing sent to every task."""
+def _map(docs: DataFrame, ranks_path: str, pattern: str, fields: str, columns, carry: dict[str, str] | None = None) -> DataFrame:
+    """A vocabulary of the bound above is the only thing sent to every task. ``carry``: further columns to keep, as alias: name."""
+    rows = pick(docs, text="text", doc_id="doc_id", **(carry or {}))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]] + [fields])
+    names = rows.columns[1:] + [f.split()[0] for f in fields.split(", ")]
     table, plain = PerfectHash(read_ranks(ranks_path)), plain_pattern(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(table, pattern, plain)
         for batch in batches:
             if batch.num_rows:
-                texts = batch.column(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns(encoder, (t.as_py() for t in texts))], names=[f.split()[0] for f in schema.split(", ")])
+                texts = batch.column(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns(encoder, (t.as_py() for t in texts))], names=names)
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``doc_id, ids array<int>``: the ids of each text, special tokens being ordinary text."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id``, carried columns, ``n_tokens, ids array<int>``: the ids of each text, special tokens being ordinary text."""
 
     def columns(encoder, texts):
-        return [pa.array([encoder.encode(t) for t in texts], pa.list_(pa.int32()))]
+        ids = [encoder.encode(t) for t in texts]
+        return [pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
 
-    return _map(docs, ranks_path, pattern, "doc_id long, ids array<int>", columns)
+    return _map(docs, ranks_path, pattern, "n_tokens long, ids array<int>", columns, carry)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -269,4 +273,4 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFr
             b.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
-    return _map(docs, ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+    return _map(docs, ranks_path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)

@@ -173,6 +173,23 @@ def locate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_byte
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that no window of the benchmark occurs in. Texts are never shuffled."""
+    place = docs.columns.index("text")
+
+    def run_for(items):
+        def run(batches):
+            machine = automaton(items, size)
+            for batch in batches:
+                yield batch.filter(pa.array([not scan(machine, words(t.as_py()))[0] for t in batch.column(place)], pa.bool_()))
+
+        return run
+
+    for block in blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(run_for(block), docs.schema)
+    return docs
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of :func:`find`."""
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")

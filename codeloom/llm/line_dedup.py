@@ -40,9 +40,9 @@ def estimate(used: Column, inverse: Column, registers: int = REGISTERS) -> Colum
     return F.when((raw <= 2.5 * m) & (used < m), F.lit(m) * F.log(F.lit(m) / (F.lit(m) - used))).otherwise(raw)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: dict[str, str] | None = None) -> DataFrame:
     """The documents with the key (k, h), which tells rows of one doc_id and different texts apart."""
-    rows = pick(docs, doc_id="doc_id", text="text", site="source")
+    rows = pick(docs, doc_id="doc_id", text="text", site="source", **(carry or {}))
     return rows.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
 
 
@@ -67,9 +67,9 @@ def boilerplate(rows: DataFrame, sites: int = SITES, registers: int = REGISTERS)
     return found.where(F.col("estimate") > sites + band).select("a", "b", "first").union(exact.select("a", "b", "first"))
 
 
-def strip(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """``doc_id, text, kept, n_lines, n_boilerplate, n_removed``: every row, ``kept`` being the text without boilerplate."""
-    rows = keyed(docs)
+def strip(docs: DataFrame, sites: int = SITES, carry: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id, text, kept, n_lines, n_boilerplate, n_removed`` and carried columns (alias: name): every row, ``kept`` being the text without boilerplate."""
+    rows = keyed(docs, carry)
     bad = materialize(boilerplate(rows, sites), "boilerplate")
     hits = lines(rows, "doc_id", "k", "h").join(bad, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     hits = hits.groupBy("k", "h").agg(F.collect_set("at").alias("at"))
@@ -83,7 +83,7 @@ def strip(docs: DataFrame, sites: int = SITES) -> DataFrame:
     out = out.withColumn("goes", F.col("at").isNotNull() & (chars <= MOST_SHARE * F.length("text")))
     return out.select(
         "doc_id", "text", F.when(F.col("goes"), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("kept"),
-        "n_lines", "n_boilerplate", F.when(F.col("goes"), F.col("n_boilerplate")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        "n_lines", "n_boilerplate", F.when(F.col("goes"), F.col("n_boilerplate")).otherwise(F.lit(0)).cast("long").alias("n_removed"), *(carry or {}),
     )
 
 

@@ -223,6 +223,17 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, bands: int = BANDS) -
     return rows.join(classes, "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
+def drop_copies(docs: DataFrame, budget: int = BUDGET, bands: int = BANDS) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document left of each component: that of the smallest doc_id.
+
+    Of repeated rows of that doc_id one stays. Rows without a doc_id can't be told apart, and all stay.
+    """
+    found = near_duplicates(docs, budget, bands)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """The digest columns: the fingerprint as 16 hexadecimal digits."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")

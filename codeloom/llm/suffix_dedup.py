@@ -38,7 +38,7 @@ from .common import materialize, pick, shuffle_partitions
 
 WINDOW, GRAM = 50, 22
 OFFSETS = WINDOW - GRAM + 1  # where in its window a minimizer can be
-SEGMENT, FLUSH = 1 << 20, 400_000
+SEGMENT, FLUSH = 1 << 19, 400_000
 LOW48 = np.uint64((1 << 48) - 1)
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -388,10 +388,10 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept, kept_sha256`` of every row; spans are flat (start, end) of maximal removed runs in bytes, kept the bytes that are left (null unless ``with_text``)."""
     spark = docs.sparkSession
     partitions = max(2, shuffle_partitions(spark))
-    buckets = 4 * partitions  # of documents: small ones, since a bucket's texts are in memory together
+    buckets = 4 * partitions  # of documents and of leads: small ones, since a bucket is in memory as a whole
     rows = pick(docs, doc_id="doc_id", text="text")
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.hash("text").alias("tag"), F.col("text").cast("binary").alias("data"))
-    listed = rows.select("k", "tag", "data").mapInArrow(_list_runs(partitions, buckets), RUNS)
+    listed = rows.select("k", "tag", "data").mapInArrow(_list_runs(buckets, buckets), RUNS)
     settled = materialize(listed.groupBy("bucket").applyInArrow(_settle(buckets), RUNS), "runs")
     packed = _packed(rows, buckets)
     asked = settled.where("kind = 2").select("bucket", "data")

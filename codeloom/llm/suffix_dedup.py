@@ -34,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, shuffle_partitions
+from .common import materialize, pick, shuffle_partitions, trim
 
 WINDOW, GRAM = 50, 22
 OFFSETS = WINDOW - GRAM + 1  # where in its window a minimizer can be
-SEGMENT, FLUSH = 1 << 19, 400_000
+SEGMENT, FLUSH = 1 << 19, 250_000
 LOW48 = np.uint64((1 << 48) - 1)
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -220,6 +220,9 @@ def _list_runs(lead_buckets: int, buckets: int):
             measure()
         if n_held:
             yield flush()
+        del minimizers
+        held.clear()
+        trim()
 
     return run
 
@@ -247,7 +250,11 @@ def _settle(buckets: int):
             ask = ~gone & differ[group]
             rows += _documents(key[gone], tag[gone], first[gone], size[gone], 1, buckets)
             rows += _documents(key[ask], tag[ask], first[ask], size[ask], 2, buckets, lead=lead[ask], whole=whole[ask], skip=skip[ask])
-        return pa.Table.from_batches([_rows(rows)])
+            del key, tag, first, size, skip, lead, whole, order, gone, ask, group
+        out = pa.Table.from_batches([_rows(rows)])
+        rows.clear()
+        trim()
+        return out
 
     return run
 
@@ -270,7 +277,9 @@ def _fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
             text = texts[key, tag][first : first + size]
             for column, value in zip(out, (text[skip : skip + GRAM], key, tag, first, skip, text)):
                 column.append(value)
+        del texts
     kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    trim()
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[f.split()[0] for f in SUFFIXES.split(", ")])
 
 
@@ -330,6 +339,8 @@ def _compare(buckets: int):
             ends = place[np.r_[heads[1:] - 1, len(row) - 1].astype(int)] + WINDOW if len(row) else place
             if len(row):
                 yield _rows(_documents(k[heads], t[heads], place[heads], ends - place[heads], 1, buckets))
+        del table, runs, buffer, view, hits, found
+        trim()
 
     return run
 
@@ -364,7 +375,10 @@ def _remove(with_text: bool):
                 kept = np.frombuffer(data, np.uint8)[~gone[:-1]].tobytes()
             for column, value in zip(out, (doc_id, len(data), len(data) - len(kept), runs, kept if with_text else None, hashlib.sha256(kept).hexdigest())):
                 column.append(value)
-        return pa.Table.from_arrays([pa.array(c, x) for c, x in zip(out, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
+        result = pa.Table.from_arrays([pa.array(c, x) for c, x in zip(out, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
+        del out, spans, parts
+        trim()
+        return result
 
     return run
 

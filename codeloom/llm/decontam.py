@@ -175,7 +175,9 @@ def locate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_byte
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that no window of the benchmark occurs in. Texts are never shuffled."""
-    place = docs.columns.index("text")
+    names = docs.columns
+    place = names.index("text")
+    docs = docs.toDF(*(f"_c{i}" for i in range(len(names))))  # other columns may have clashing names
 
     def run_for(items):
         def run(batches):
@@ -187,7 +189,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes
 
     for block in blocks(benchmark, block_bytes):
         docs = docs.mapInArrow(run_for(block), docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

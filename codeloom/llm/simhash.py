@@ -230,8 +230,11 @@ def drop_copies(docs: DataFrame, budget: int = BUDGET, bands: int = BANDS) -> Da
     """
     found = near_duplicates(docs, budget, bands)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    names = docs.columns
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))  # other columns may have clashing names
+    own = f"_c{names.index('doc_id')}"
+    kept = plain.join(stay.hint("shuffle_hash"), F.col(own) == F.col("doc_id"), "left_semi").dropDuplicates([own])
+    return kept.union(plain.where(F.col(own).isNull())).toDF(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:

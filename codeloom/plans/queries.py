@@ -63,12 +63,15 @@ def merge_sql(stored: str, batch: str, columns: list[str], keys: list[str], defi
 
 # ---- sources and scans
 
-_ODD = F.when(F.col("k") % 7 == 0, F.concat(F.lit("node_modules/"), "path")).when(F.col("k") % 7 == 1, F.concat(F.lit("vendor/"), "path")).when(F.col("k") % 7 == 2, F.upper("path")).when(F.col("k") % 7 == 3, F.concat("path", F.lit(".txt"))).otherwise(F.col("path"))
+def _odd() -> Column:
+    """Paths in folders that are left out, in capitals, or with another ending."""
+    k, path = F.col("k"), F.col("path")
+    return F.when(k % 7 == 0, F.concat(F.lit("node_modules/"), path)).when(k % 7 == 1, F.concat(F.lit("vendor/"), path)).when(k % 7 == 2, F.upper(path)).when(k % 7 == 3, F.concat(path, F.lit(".txt"))).otherwise(path)
 
 
 def _discover(g: Graph, t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
-    found = t.orders.select(k.alias("k"), projection.order_path(k, F.col("o_custkey")).alias("path")).select(_ODD.alias("relative"))
+    found = t.orders.select(k.alias("k"), projection.order_path(k, F.col("o_custkey")).alias("path")).select(_odd().alias("relative"))
     return discovery.assign(found.select(F.col("relative").alias("path"), "relative")).select("path", "adapter", "language")
 
 

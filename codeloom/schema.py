@@ -62,8 +62,12 @@ MEMORY_LABELS = ("Decision", "ADR", "Rule", "Context", "Finding", "Task", "Risk"
 REF_TYPES = ("Code", "Package", "File", "Class", "Interface", "Annotation", "Method", "Field")
 
 
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def struct(table: str) -> T.StructType:
-    return T.StructType.fromDDL(TABLES[table][0])
+    """Needs no session, unlike the DDL parser."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in TABLES[table][0].split(", "))])
 
 
 def columns(table: str) -> list[str]:

@@ -5,8 +5,10 @@ boilerplate. Each line hash (128 bits) has a HyperLogLog sketch of its sites, he
 merged by a plain maximum, so partial aggregation runs in the JVM before the shuffle and a hot line is never gathered
 in one task. Lines whose estimate is within ``band`` of the threshold get an exact distinct count before anything is removed.
 
-Boilerplate goes from every document except the one of smallest doc_id that has it. A document more than half of
-whose characters would go is left whole: it is a copy, which near-duplicate detection handles.
+Boilerplate goes from every document except the one of smallest doc_id that has it. With a ``share``, as in the report and its
+SQL, a document more than that share of whose characters would go is left whole, copy or not. With ``share=None``, as in the
+pipeline, boilerplate goes whatever its share; what protects copies is that a line must also be in as many different texts as
+sites, so a text's own lines don't become boilerplate by its copies.
 
 Defined cases: a null text has no lines and stays null; a null site counts for no line; a null doc_id is a document
 like any other, but never the smallest unless all are null; repeated rows get equal results; an empty table gives an empty result; other
@@ -51,8 +53,8 @@ def lines(rows: DataFrame, *columns: str) -> DataFrame:
     return exploded.select(*columns, "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
 
 
-def boilerplate(rows: DataFrame, sites: int = SITES, registers: int = REGISTERS) -> DataFrame:
-    """``a, b, first``: the hash of each boilerplate line and the smallest doc_id that has it."""
+def boilerplate(rows: DataFrame, sites: int = SITES, registers: int = REGISTERS, texts: int = 1) -> DataFrame:
+    """``a, b, first``: the hash of each boilerplate line, in ``texts`` or more different texts, and the smallest doc_id that has it."""
     bucket, rank = register(F.col("site"), registers)
     # the register is found once for a document, not for each line
     marked = lines(rows.withColumn("bucket", bucket).withColumn("rank", rank), "doc_id", "bucket", "rank")
@@ -64,13 +66,18 @@ def boilerplate(rows: DataFrame, sites: int = SITES, registers: int = REGISTERS)
     near = found.where(F.col("estimate") <= sites + band)
     exact = lines(rows.where("site is not null"), "site").join(near.select("a", "b", "first"), ["a", "b"]).groupBy("a", "b", "site").agg(F.min("first").alias("first"))
     exact = exact.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= sites)
-    return found.where(F.col("estimate") > sites + band).select("a", "b", "first").union(exact.select("a", "b", "first"))
+    bad = found.where(F.col("estimate") > sites + band).select("a", "b", "first").union(exact.select("a", "b", "first"))
+    if texts <= 1:
+        return bad
+    bad = materialize(bad, "spread")
+    apart = lines(rows.where("site is not null"), "h").join(bad.select("a", "b"), ["a", "b"]).select("a", "b", "h").distinct()
+    return bad.join(apart.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= texts), ["a", "b"], "left_semi")
 
 
-def strip(docs: DataFrame, sites: int = SITES, carry: dict[str, str] | None = None) -> DataFrame:
+def strip(docs: DataFrame, sites: int = SITES, carry: dict[str, str] | None = None, share: float | None = MOST_SHARE) -> DataFrame:
     """``doc_id, text, kept, n_lines, n_boilerplate, n_removed`` and carried columns (alias: name): every row, ``kept`` being the text without boilerplate."""
     rows = keyed(docs, carry)
-    bad = materialize(boilerplate(rows, sites), "boilerplate")
+    bad = materialize(boilerplate(rows, sites, texts=sites if share is None else 1), "boilerplate")
     hits = lines(rows, "doc_id", "k", "h").join(bad, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     hits = hits.groupBy("k", "h").agg(F.collect_set("at").alias("at"))
     split = F.split("text", "\n", -1)
@@ -80,7 +87,7 @@ def strip(docs: DataFrame, sites: int = SITES, carry: dict[str, str] | None = No
     out = rows.join(hits.hint("shuffle_hash"), ["k", "h"], "left")
     out = out.withColumn("n_lines", F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0)).cast("long"))
     out = out.withColumn("n_boilerplate", F.coalesce(F.size("at"), F.lit(0)).cast("long"))
-    out = out.withColumn("goes", F.col("at").isNotNull() & (chars <= MOST_SHARE * F.length("text")))
+    out = out.withColumn("goes", F.col("at").isNotNull() & (F.lit(True) if share is None else chars <= share * F.length("text")))
     return out.select(
         "doc_id", "text", F.when(F.col("goes"), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("kept"),
         "n_lines", "n_boilerplate", F.when(F.col("goes"), F.col("n_boilerplate")).otherwise(F.lit(0)).cast("long").alias("n_removed"), *(carry or {}),

@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are on many sites go; documents stay."""
-    kept = line_dedup.strip(pick(docs, **{c: c for c in COLUMNS}), carry={"lang": "lang", "source": "source"})
+    """Lines that are on many sites, in as many different texts, go, whatever their share; documents stay."""
+    kept = line_dedup.strip(pick(docs, **{c: c for c in COLUMNS}), carry={"lang": "lang", "source": "source"}, share=None)
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

@@ -33,3 +33,15 @@ def test_pipeline(spark, tmp_path):
     assert set(seen["decontamination"]) == set(seen["near_dedup"]) - {202}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in out} == set(seen["decontamination"]) and all(len(x.ids) == x.n_tokens for x in out)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_boilerplate_goes_whatever_its_share(spark):
+    short = [f"All rights reserved, whoever reads this.\nown {i}" for i in range(12)]
+    copied = "Home | News\nContact us here"  # one text on 12 sites
+    texts = [*short, *[copied] * 12]
+    docs = spark.createDataFrame([(i, t, "en", f"src{i % 12}", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == {0: short[0]} | {i: f"own {i}" for i in range(1, 12)} | {i: copied for i in range(12, 24)}

@@ -63,17 +63,18 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+    """``doc_id, h, fp``: a hash of the text, which tells rows of one doc_id or of none apart, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py())
                 out.append(majority(np.array(hashes, np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, np.uint64).view(np.int64), pa.int64())], names=["doc_id", "h", "fp"])
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, fp long")
+    rows = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _masks(bands: int, budget: int) -> list[tuple[int, ...]]:
@@ -209,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, bands: int = BANDS) -> DataFrame:
-    """``doc_id, fp, n_near, component_id`` for every row: other documents linked directly, and the smallest doc_id reachable."""
+    """``doc_id, h, fp, n_near, root, component_id`` for every row: other documents linked directly, the component's smallest fingerprint, and the smallest doc_id reachable."""
     rows = materialize(fingerprints(docs), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     pairs = materialize(links(distinct.select("fp"), budget, bands), "links")
@@ -219,22 +220,23 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, bands: int = BANDS) -
     named = distinct.join(roots, distinct.fp == roots.node, "left").join(linked, distinct.fp == linked.a, "left")
     named = named.select("fp", "n", "first", F.coalesce("root", "fp").alias("root"), F.coalesce("others", F.lit(0)).alias("others"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("fp", (F.col("n") - 1 + F.col("others")).cast("long").alias("n_near"), "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "n_near", "component_id")
+    classes = named.join(least, "root").select("fp", (F.col("n") - 1 + F.col("others")).cast("long").alias("n_near"), "root", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "h", "fp", "n_near", "root", "component_id")
 
 
 def drop_copies(docs: DataFrame, budget: int = BUDGET, bands: int = BANDS) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document left of each component: that of the smallest doc_id.
+    """The rows of ``docs``, all columns, with one row left of each component: that of the smallest doc_id (null last), then text hash.
 
-    Of repeated rows of that doc_id one stays. Rows without a doc_id can't be told apart, and all stay.
+    Of repeated rows one stays. Rows without a doc_id are told apart by their texts.
     """
     found = near_duplicates(docs, budget, bands)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("k"), "h")).alias("s")).select("s.*")
     names = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))  # other columns may have clashing names
-    own = f"_c{names.index('doc_id')}"
-    kept = plain.join(stay.hint("shuffle_hash"), F.col(own) == F.col("doc_id"), "left_semi").dropDuplicates([own])
-    return kept.union(plain.where(F.col(own).isNull())).toDF(*names)
+    own, text = (F.col(f"_c{names.index(c)}") for c in ("doc_id", "text"))
+    keyed = plain.withColumn("none", own.isNull()).withColumn("k", F.coalesce(own, F.lit(0))).withColumn("h", F.xxhash64(text))
+    kept = keyed.join(stay.hint("shuffle_hash"), ["none", "k", "h"], "left_semi").dropDuplicates(["none", "k", "h"])
+    return kept.select(*plain.columns).toDF(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:

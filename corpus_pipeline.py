@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 shared folder and read again, so a lost executor costs no more than a stage. All but the last return the columns of
 ``documents``; n_chars follows the text.
 
-Defined cases are those of the operators: rows without doc_id are never taken for copies, null texts pass every filter
-and encode to no ids, an empty table gives an empty result. Columns beyond those of ``documents`` are not carried on.
+Defined cases are those of the operators: rows without doc_id are copies like any other, but never stay for one with a doc_id; null
+texts pass every filter but that for copies, of which one stays, and encode to no ids, an empty table gives an empty result. Columns beyond those of ``documents`` are not carried on.
 """
 
 from __future__ import annotations

@@ -45,3 +45,11 @@ def test_boilerplate_goes_whatever_its_share(spark):
     docs = spark.createDataFrame([(i, t, "en", f"src{i % 12}", len(t)) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
     assert got == {0: short[0]} | {i: f"own {i}" for i in range(1, 12)} | {i: copied for i in range(12, 24)}
+
+
+def test_copies_without_id_go_and_other_texts_of_one_id_stay(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, words(0)), (None, words(0)), (None, words(0)), (None, words(1)), (5, words(2)), (5, words(3)), (5, words(3)), (6, words(3)), (7, words(4)), (None, words(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, words(0)), (None, words(1)), (5, words(2)), (5, words(3)), (7, words(4))], key=str)

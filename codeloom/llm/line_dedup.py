@@ -3,7 +3,8 @@
 A line (its spaces at both ends cut off; blank lines never count) that occurs on ``SITES`` or more distinct sites is
 boilerplate. Each line hash (128 bits) has a HyperLogLog sketch of its sites, held as rows: one for each non-zero register,
 merged by a plain maximum, so partial aggregation runs in the JVM before the shuffle and a hot line is never gathered
-in one task. Lines whose estimate is within ``band`` of the threshold get an exact distinct count before anything is removed.
+in one task. Lines whose estimate is between half the threshold and ``band`` above it get an exact distinct
+count before anything is removed.
 
 Boilerplate goes from every document except the one of smallest doc_id that has it. With a ``share``, as in the report and its
 SQL, a document more than that share of whose characters would go is left whole, copy or not. With ``share=None``, as in the
@@ -61,7 +62,8 @@ def boilerplate(rows: DataFrame, sites: int = SITES, registers: int = REGISTERS,
     sketch = marked.groupBy("a", "b", "bucket").agg(F.max("rank").alias("rank"), F.min("doc_id").alias("first"))
     spread = sketch.groupBy("a", "b").agg(F.count("rank").alias("used"), F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)).alias("inverse"), F.min("first").alias("first"))
     band = max(1.0, 3 * 1.04 / math.sqrt(registers) * sites)
-    found = spread.withColumn("estimate", estimate(F.col("used"), F.col("inverse"), registers)).where(F.col("estimate") >= sites - band)
+    low = min(sites - band, sites / 2)  # few sites lower the estimate in steps: each pair that shares a register takes one off it
+    found = spread.withColumn("estimate", estimate(F.col("used"), F.col("inverse"), registers)).where(F.col("estimate") >= low)
     found = materialize(found.select("a", "b", "first", "estimate"), "lines")
     near = found.where(F.col("estimate") <= sites + band)
     exact = lines(rows.where("site is not null"), "site").join(near.select("a", "b", "first"), ["a", "b"]).groupBy("a", "b", "site").agg(F.min("first").alias("first"))

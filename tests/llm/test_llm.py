@@ -155,6 +155,18 @@ def test_line_dedup(spark):
     assert line_dedup.strip(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_sites_that_share_registers(spark):
+    held = {}
+    for i in range(1000):
+        held.setdefault(xxhash.xxh64_intdigest(f"src{i}", 42) % line_dedup.REGISTERS, []).append(f"src{i}")
+    pairs = [x[:2] for x in held.values() if len(x) > 1][:2]
+    sites = [*pairs[0], *pairs[1], *[x[0] for x in held.values() if len(x) == 1][:6]]  # 10 sites in 8 registers
+    docs = spark.createDataFrame([(i, f"a line of the text of number {i}\nAll rights reserved.", s) for i, s in enumerate(sites)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.strip(docs).collect()}
+    assert got == {0: 0} | {i: 1 for i in range(1, 10)}
+    assert all(r.n_removed == 0 for r in line_dedup.strip(docs.where("doc_id < 9")).collect())
+
+
 def test_hll(spark):
     from pyspark.sql import functions as F
 

@@ -19,7 +19,7 @@ Runs (step 2) are compared by 96 hash bits and their bucket; windows (step 3) by
 has seen it, not one for each copy.
 
 Defined cases: a null text is empty (no bytes, none removed); a null doc_id counts as larger than any other; rows of one
-doc_id never remove from each other, and repeated rows get equal results; an empty table gives an empty result; other columns are
+doc_id, told apart by a 64-bit hash of their texts, never remove from each other, and repeated rows get equal results; an empty table gives an empty result; other columns are
 not read. Texts of any length are read whole, in overlapping segments.
 """
 
@@ -107,7 +107,7 @@ def _pack(key: np.ndarray, tag: np.ndarray, first: np.ndarray, size: np.ndarray,
     new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])
     step = np.diff(first, prepend=0)
     step[new] = first[new]
-    plain = [np.array([len(key), len(new), lead is not None], np.int64), key[new].astype(np.int64), tag[new].astype(np.int32), np.diff(np.r_[new, len(key)]).astype(np.int32), step.astype(np.int32), size.astype(np.int32)]
+    plain = [np.array([len(key), len(new), lead is not None], np.int64), key[new].astype(np.int64), tag[new].astype(np.int64), np.diff(np.r_[new, len(key)]).astype(np.int32), step.astype(np.int32), size.astype(np.int32)]
     if lead is not None:
         plain.append(skip[order].astype(np.uint8))
     packed = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in plain))
@@ -124,7 +124,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n, d, more = np.frombuffer(plain, np.int64, 3).tolist()
     at = 24
     out = []
-    for kind, m in ((np.int64, d), (np.int32, d), (np.int32, d), (np.int32, n), (np.int32, n)):
+    for kind, m in ((np.int64, d), (np.int64, d), (np.int32, d), (np.int32, n), (np.int32, n)):
         out.append(np.frombuffer(plain, kind, m, at))
         at += out[-1].nbytes
     key, tag, count, step, size = out
@@ -264,7 +264,7 @@ def _texts(docs: pa.Table) -> dict[tuple[int, int], bytes]:
     return {(k, t): unpack(z.as_py()) for k, t, z in zip(docs.column("k").to_pylist(), docs.column("tag").to_pylist(), docs.column("packed"))}
 
 
-SUFFIXES = "lead binary, k long, tag int, first long, skip int, run binary"
+SUFFIXES = "lead binary, k long, tag long, first long, skip int, run binary"
 
 
 def _fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
@@ -278,7 +278,7 @@ def _fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
             for column, value in zip(out, (text[skip : skip + GRAM], key, tag, first, skip, text)):
                 column.append(value)
         del texts
-    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     trim()
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[f.split()[0] for f in SUFFIXES.split(", ")])
 
@@ -385,7 +385,7 @@ def _remove(with_text: bool):
 
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     """The texts, compressed, by bucket of document."""
-    schema = "bucket int, doc_id long, k long, tag int, packed binary"
+    schema = "bucket int, doc_id long, k long, tag long, packed binary"
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -404,7 +404,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     partitions = max(2, shuffle_partitions(spark))
     buckets = 4 * partitions  # of documents and of leads: small ones, since a bucket is in memory as a whole
     rows = pick(docs, doc_id="doc_id", text="text")
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.hash("text").alias("tag"), F.col("text").cast("binary").alias("data"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("data"))
     listed = rows.select("k", "tag", "data").mapInArrow(_list_runs(buckets, buckets), RUNS)
     settled = materialize(listed.groupBy("bucket").applyInArrow(_settle(buckets), RUNS), "runs")
     packed = _packed(rows, buckets)

@@ -103,6 +103,18 @@ def test_suffix_dedup(spark, docs, texts):
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_texts_of_one_32_bit_hash(spark):
+    from pyspark.sql import functions as F
+
+    shared = "a passage of more than fifty characters that another document has too. "
+    i = F.col("id")
+    made = spark.range(400_000).select((i % 2).alias("odd"), F.concat(F.when(i % 2 == 0, shared).otherwise("short "), F.lit("number "), i).alias("text"))
+    pair = made.groupBy(F.hash("text")).agg(F.max(F.struct("odd", "text")).alias("x"), F.min(F.struct("odd", "text")).alias("y")).where("x.odd <> y.odd").selectExpr("x.text x", "y.text y").first()
+    got = {r.doc_id or r.n_bytes: r for r in suffix_dedup.dedup(frame(spark, [shared, *pair], [1, None, None])).collect()}
+    assert got[len(pair.x)].n_removed == 0 and bytes(got[len(pair.x)].kept) == pair.x.encode()
+    assert got[len(pair.y)].n_removed == len(shared) and bytes(got[len(pair.y)].kept) == pair.y[len(shared) :].encode()
+
+
 def test_multikey_order():
     x = np.random.RandomState(0).randint(0, 3, (500, 4)).astype(np.uint64)
     order, same = suffix_dedup.multikey_order(x)

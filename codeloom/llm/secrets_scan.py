@@ -2,7 +2,9 @@
 
 Base kinds (spans are whole matches, in code points): ``assign``, ``access``, ``hex`` as in :data:`ASSIGN`,
 :data:`ACCESS`, :data:`HEX`. The method adds kind ``random``: runs of at least ``LEAST`` characters of
-``A-Za-z0-9+/_=-`` outside the base spans. For each, the smallest fitting encoding is inferred (digits, hexadecimal,
+``A-Za-z0-9+/_=-`` in what the base spans leave, cut at inner ``=``. A run with separators (``+/`` or ``_-``) is taken as
+a whole, if one alphabet holds it, and as its parts between separators of either kind and of both; of the parts that
+are found, longer ones come first and others that overlap them are left out. For each, the smallest fitting encoding is inferred (digits, hexadecimal,
 base 32, lower or upper alphanumeric, alphanumeric, base 64) and three tests are made:
 
 * chi-squared uniformity over that alphabet. Its p-value is that of so even a token among tokens of the same length and
@@ -34,6 +36,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")  # padding stays with the last
+PARTS = tuple(re.compile(rf"[^{x}]+") for x in ("+/", "_-", "+/_-"))
 KINDS = ("assign", "access", "hex", "random")
 LEAST, Z_GATE, Q = 20, 3.0, 0.01
 STRATA = (20, 28, 40, 64)  # least lengths
@@ -116,16 +120,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def uncovered(a: int, b: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the base spans, ordered by start, leave of (a, b)."""
+    for x, _, y in base:
+        if x < b and a < y:
+            if a < x:
+                yield a, x
+            a = y
+    if a < b:
+        yield a, b
+
+
+def tokens(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The places of the tokens of ``LEAST`` or more characters in a run (a, b)."""
+    for v in VALUE.finditer(text[a:b]):
+        value, at = v.group(), a + v.start()
+        if len(value) < LEAST:
+            continue
+        plain, safe = "+" in value or "/" in value, "_" in value or "-" in value
+        places = set() if plain and safe else {(0, len(value))}
+        if plain or safe:
+            places |= {m.span() for p in PARTS for m in p.finditer(value)}
+        yield from ((at + x, at + y) for x, y in sorted(places) if y - x >= LEAST)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, bin of p) of the tokens that the battery is run on."""
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, _, y in base):
-            continue
-        p = p_value(m.group())
-        stratum = sum(b - a >= s for s in STRATA) - 1
-        out.append((a, b, stratum, min(BINS - 1, int(-math.log10(max(p, 1e-300)) * BINS / DEPTH))))
+        for run in uncovered(*m.span(), base):
+            for a, b in tokens(text, *run):
+                p = p_value(text[a:b])
+                stratum = sum(b - a >= s for s in STRATA) - 1
+                out.append((a, b, stratum, min(BINS - 1, int(-math.log10(max(p, 1e-300)) * BINS / DEPTH))))
+    return out
+
+
+def apart(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the places that overlap none longer, or as long and further left."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda s: (s[0] - s[1], s[0])):
+        if all(b <= x or y <= a for x, y in out):
+            out.append((a, b))
     return out
 
 
@@ -175,7 +211,7 @@ def find(docs: DataFrame, q: float = Q) -> DataFrame:
             out = []
             for base, cand in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 spans = list(zip(base[::3], base[1::3], base[2::3]))
-                spans += [(a, 3, b) for a, b, s, p in zip(cand[::4], cand[1::4], cand[2::4], cand[3::4]) if p >= least[s]]
+                spans += [(a, 3, b) for a, b in apart([(a, b) for a, b, s, p in zip(cand[::4], cand[1::4], cand[2::4], cand[3::4]) if p >= least[s]])]
                 out.append([x for s in sorted(spans) for x in s])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n", "base", "spans"])
 

@@ -279,3 +279,21 @@ def test_secrets(spark, docs, texts):
     found = rows(secrets_scan.report(frame(spark, made)))
     assert sum("random:17:57" in found[i].spans for i in range(20)) >= 18 and not any(found[i].spans for i in range(20, 60))
     assert secrets_scan.report(docs.limit(0)).count() == 0
+
+
+def test_secrets_in_env_and_query_form(spark):
+    r = random.Random(6)
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n, more="": "".join(r.choice(plain + more) for _ in range(n))
+    heads = ["AWS_SECRET_ACCESS_KEY=", "DB_PASS=", "https://host/path?sig=", "export my-key_id=", "/srv/my-app_x/", "a+b-c/"]
+    mores = ["+/", "", "+/", "-_", "-_", ""]
+    made = [(h, draw(40, m)) for _ in range(12) for h, m in zip(heads, mores)]
+    texts = [f"see {h}{t} here" for h, t in made] + ["see PATH_TO_THE_MAIN_FOLDER=/usr/local/share-all/some_directory/with-names here"] * 40
+    cut = [draw(40) + "/" + "0123456789abcdef" * 2 + "/" + draw(40) for _ in range(5)]
+    found = rows(secrets_scan.report(frame(spark, [*texts, *cut])))
+    for k, h in enumerate(heads):
+        ends = [re.findall(r"random:(\d+):(\d+)", found[i].spans) for i in range(k, len(made), len(heads))]
+        assert sum(any(len(h) + 2 <= int(a) <= len(h) + 4 and int(b) == len(h) + 44 for a, b in e) for e in ends) >= 9, h  # "c/" may stay with its token
+    assert not any(found[i].spans for i in range(len(made), len(texts)))
+    for i, t in enumerate(cut, len(texts)):
+        assert "hex:" in found[i].spans and found[i].spans.count("random:") == 2

@@ -155,9 +155,9 @@ def search(chunks: DataFrame, query: list[float], k: int, before: Column | None
 
 
 def search_all(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best chunks (``id, embedding``) for every row of ``queries`` (``query_id, query``).
+    """The k best chunks (``id, embedding``) for every row of ``queries`` (``query_id, query``), as ``query_id, rank, id, score``.
 
-    Queries go in blocks to all rows; each block keeps k rows a query and partition before the shuffle.
+    Scores that are equal to 12 places are ties, by id; vectors without a length are never found and find nothing. Queries go in blocks to all rows; each block keeps k rows a query and partition before the shuffle.
     """
     block, n = 256, k
     out = None
@@ -165,16 +165,20 @@ def search_all(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def flush(qs):
         ids, q = [r.query_id for r in qs], np.array([r.query for r in qs], np.float64)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
 
         def run(batches):
             best: list[list] = [[] for _ in ids]
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys = batch.column(0).to_pylist()
                 m = np.array(batch.column(1).to_pylist(), np.float64)
-                s = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).T
+                size = np.linalg.norm(m, axis=1)
+                own = np.flatnonzero(size > 0)
+                if not len(own):
+                    continue
+                keys = [batch.column(0)[int(j)].as_py() for j in own]
+                s = np.round(q @ (m[own] / size[own, None]).T, 12)
                 for i, row in enumerate(s):
                     top = np.argsort(-row, kind="stable")[: n + 64]
                     best[i] = sorted(best[i] + [(-float(row[j]), keys[j]) for j in np.flatnonzero(row >= row[top[-1]])])[:n]
@@ -185,7 +189,7 @@ def search_all(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         kind = dict(chunks.dtypes)["id"]
         return chunks.where("embedding is not null").select("id", "embedding").mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, id {kind}, score double")
 
-    for row in queries.select("query_id", "query").toLocalIterator():
+    for row in queries.where("query is not null and exists(query, x -> x <> 0)").select("query_id", "query").toLocalIterator():
         held.append(row)
         if len(held) == block:
             part = flush(held)

@@ -197,6 +197,18 @@ _COSINE = "SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS D
 add("v11_vector_search", lambda g, t: rag.search(_vectors(t), _query_vector(t), 20).select("id", F.round("score", 4).alias("score")), f"SELECT id, score FROM ({_COSINE}) ORDER BY score DESC, id LIMIT 20")
 add("v11_vector_search_filter_after", lambda g, t: rag.search(_vectors(t), _query_vector(t), 20, after=F.col("label") == 1).select("id", F.round("score", 4).alias("score")), f"SELECT id, score FROM (SELECT * FROM ({_COSINE}) ORDER BY score DESC, id LIMIT 20) WHERE label = 1")
 add("v11_vector_scores", lambda g, t: _vectors(t).select("id", F.round(rag.cosine(F.col("embedding"), F.lit(_query_vector(t)).cast("array<double>")), 4).alias("score")), f"SELECT id, score FROM ({_COSINE})")
+
+
+def _search_all(t: Tables, chunks: DataFrame, k: int) -> DataFrame:
+    """The search of every row of embeddings whose id is divisible by 20."""
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query"))
+    return rag.search_all(chunks, queries, k)
+
+
+add("v11_vector_search_all", lambda g, t: _search_all(t, _vectors(t), 20))
+add("v11_vector_search_filter_after_all", lambda g, t: _search_all(t, _vectors(t), 20).join(_vectors(t).where("label = 1").select("id"), "id", "left_semi"))
+add("q5_code_search_all", lambda g, t: _search_all(t, g.code_chunk.where("rag_role in ('file', 'primary')"), 25))
+add("q23_memory_search_all", lambda g, t: _search_all(t, t.embeddings.select(F.col("vec_id").cast("string").alias("id"), "embedding"), 15))
 add("v12_code_chunk_text", lambda g, t: rag.code_chunks(g.replace(file=g.code_chunk.select("path", "language"), defines=g.defines.where("false"), type_node=g.type_node.where("false")), g.code_chunk.select("path", "text")).select("id", "path", "name", "rag_role", "start_line", "end_line", F.length("text").cast("long").alias("chars")),
     """SELECT 'CCH-file-' || substr(sha256(path), 1, 16) AS id, path, name, 'file' AS rag_role, CAST(1 AS INT) AS start_line, CAST(end_line AS INT) AS end_line,
   length(regexp_replace(regexp_replace('Name: ' || name || chr(10) || 'Kind: file' || chr(10) || CASE WHEN w <> '' THEN 'Words: ' || w || chr(10) ELSE '' END || 'Source excerpt:' || chr(10) || array_to_string(string_split(text, chr(10))[1:80], chr(10)), '^\\s+', ''), '\\s+$', '')) AS chars

@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from codeloom.plans import projection
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,3 +38,23 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_searches(spark):
+    found = {r.vec_id: r for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    roles = {r.id: (r.rag_role, r.embedding) for r in projection.graph(spark, SF).code_chunk.where("embedding is not null").collect()}
+    vectors = {i: r.embedding for i, r in found.items()}
+    tried = {
+        "v11_vector_search_all": (vectors, 20, lambda i: True), "v11_vector_search_filter_after_all": (vectors, 20, lambda i: found[i].label == 1),
+        "q5_code_search_all": ({i: e for i, (role, e) in roles.items() if role in ("file", "primary")}, 25, lambda i: True), "q23_memory_search_all": ({str(i): e for i, e in vectors.items()}, 15, lambda i: True),
+    }
+    for name, (rows_, k, after) in tried.items():
+        keys, m = list(rows_), np.array(list(rows_.values()), np.float64)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        want = set()
+        for q in (i for i in found if i % 20 == 0):
+            v = np.array(found[q].embedding, np.float64)
+            best = sorted(zip((-np.round(m @ v / np.linalg.norm(v), 12)).tolist(), keys))[:k]
+            want |= {(q, rank, i) for rank, (_, i) in enumerate(best, 1) if after(i)}
+        got = __spark_entry__.queries()[name](spark, SF).collect()
+        assert {(r.query_id, r["rank"], r.id) for r in got} == want and len(got) == len(want) and want

@@ -213,6 +213,18 @@ add("v12_code_chunk_text", lambda g, t: rag.code_chunks(g.replace(file=g.code_ch
     """SELECT 'CCH-file-' || substr(sha256(path), 1, 16) AS id, path, name, 'file' AS rag_role, CAST(1 AS INT) AS start_line, CAST(end_line AS INT) AS end_line,
   length(regexp_replace(regexp_replace('Name: ' || name || chr(10) || 'Kind: file' || chr(10) || CASE WHEN w <> '' THEN 'Words: ' || w || chr(10) ELSE '' END || 'Source excerpt:' || chr(10) || array_to_string(string_split(text, chr(10))[1:80], chr(10)), '^\\s+', ''), '\\s+$', '')) AS chars
   FROM (SELECT *, array_to_string(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: length(x) >= 3), ' ') AS w FROM code_chunk)""")
+
+
+def _every_chunk(g: Graph, t: Tables) -> DataFrame:
+    """V12 over all that the files define; a file of the graph has the text of a document that its path picks, a document's own file its own."""
+    n = t.documents.agg(F.max("doc_id")).first()[0] or 0
+    given = g.file.select("path", F.pmod(F.xxhash64("path"), F.lit(n + 1)).alias("doc_id")).join(t.documents.select("doc_id", "text"), "doc_id").select("path", "text")
+    own = g.code_chunk.select("path", "language", "text")
+    files = g.file.select("path", "language").unionByName(own.select("path", "language"))
+    return rag.code_chunks(g.replace(file=files), given.unionByName(own.select("path", "text")))
+
+
+add("v12_code_chunk_text_all", lambda g, t: _every_chunk(g, t).select("id", "source_label", "source_id", "path", "name", "rag_role", "start_line", "end_line", F.length("text").cast("long").alias("chars"), "text_hash"))
 _WORDS = "list_filter(string_split_regex(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 3)"
 add("f_identifier_words", lambda g, t: t.documents.select("doc_id", tx.identifier_words(F.col("text")).alias("words")), f"SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:32], ' ') AS words FROM (SELECT doc_id, {_WORDS} AS w FROM documents)")
 add("f_names_hashes_previews", lambda g, t: g.method.select("signature", tx.method_name(F.col("signature")).alias("method_name"), tx.simple_name(F.col("owner_fqn")).alias("owner"), tx.package_name(F.col("owner_fqn")).alias("package"), tx.chunk_id(F.lit("Method"), F.col("signature")).alias("chunk_id"), tx.preview(F.col("signature"), 12).alias("preview")),
@@ -248,12 +260,13 @@ add("q6_code_text_search", lambda g, t: analytics.text_search(g, "the license",
     "SELECT * FROM (SELECT id, path, CAST(contains(x, 'the') AS INT) + CAST(contains(x, 'license') AS INT) + CAST(contains(x, 'rights') AS INT) + CAST(contains(x, 'work') AS INT) AS term_matches FROM (SELECT id, path, lower(text || chr(10) || path || chr(10) || source_id) AS x FROM code_chunk) WHERE contains(x, 'rights') OR contains(x, 'work'))")
 
 
-def _method_chunks(g: Graph) -> Graph:
-    return g.replace(code_chunk=schema.conform(g.method.where("name like 'part1%'").select(F.col("signature").alias("id"), F.lit("Method").alias("source_label"), F.col("signature").alias("source_id"), F.lit("m").alias("path"), F.lit("primary").alias("rag_role"), F.col("signature").alias("text")), "code_chunk"))
+def _method_chunks(g: Graph, which: str = "name like 'part1%'") -> Graph:
+    return g.replace(code_chunk=schema.conform(g.method.where(which).select(F.col("signature").alias("id"), F.lit("Method").alias("source_label"), F.col("signature").alias("source_id"), F.lit("m").alias("path"), F.lit("primary").alias("rag_role"), F.col("signature").alias("text")), "code_chunk"))
 
 
 add("q7_discovery_context", lambda g, t: (lambda b: analytics.discovery_context(b, b.code_chunk, 3))(_method_chunks(g)),
     "SELECT anchor, side, signature, count FROM (SELECT *, row_number() OVER (PARTITION BY anchor, side ORDER BY count DESC, signature) AS r FROM (SELECT callee AS anchor, 'caller' AS side, caller AS signature, count FROM calls UNION ALL SELECT caller, 'callee', callee, count FROM calls) WHERE anchor IN (SELECT signature FROM method WHERE name LIKE 'part1%')) WHERE r <= 3")
+add("q7_discovery_context_all", lambda g, t: (lambda b: analytics.discovery_context(b, b.code_chunk, 3))(_method_chunks(g, "true")))
 add("q8_flow_context", lambda g, t: analytics.flow_context(g.replace(code_chunk=schema.conform(g.defines.where("label = 'Method'").select(F.concat("path", F.lit("#"), "key").alias("id"), "path", F.col("key").alias("text")), "code_chunk")), "part17 (R)", limit_files=100).select("path", "lexical", "inner_calls", "outer_calls"),
     """SELECT h.path, lexical, coalesce(i, 0) AS inner_calls, coalesce(o, 0) AS outer_calls FROM (SELECT path, CAST(max(CAST(contains(lower(key || chr(10) || path), 'part17') AS INT) + CAST(contains(lower(key || chr(10) || path), '(r)') AS INT)) AS DOUBLE) AS lexical FROM defines WHERE label = 'Method' AND (contains(lower(key), 'part17') OR contains(lower(key), '(r)')) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100) h
 LEFT JOIN (SELECT path, count(*) FILTER (a = b) AS i, count(*) FILTER (a <> b) AS o FROM (SELECT a, b, unnest(CASE WHEN a = b THEN [a] ELSE [a, b] END) AS path FROM (SELECT x.path AS a, y.path AS b FROM calls JOIN described x ON x.signature = caller JOIN described y ON y.signature = callee WHERE x.path IS NOT NULL AND y.path IS NOT NULL)) GROUP BY 1) e ON e.path = h.path""")
@@ -274,6 +287,8 @@ add("q16_code_impact", lambda g, t: analytics.impact(g, g.method.where("name lik
 JOIN described c ON c.signature = i.caller JOIN described g ON g.signature = i.target LEFT JOIN type_node ct ON ct.fqn = c.owner_fqn LEFT JOIN type_node gt ON gt.fqn = g.owner_fqn""")
 add("q16_impact_files", lambda g, t: analytics.impact_files(analytics.impact(g, g.method.where("name = 'part17'").select("signature"))),
     """SELECT path, count(DISTINCT caller) AS callers, CAST(min(depth) AS INT) AS depth FROM (SELECT target, caller, min(d) AS depth FROM (SELECT callee AS target, caller, 1 AS d FROM calls JOIN method ON signature = callee WHERE name = 'part17' UNION ALL SELECT a.callee, b.caller, 2 FROM calls a JOIN calls b ON b.callee = a.caller JOIN method ON signature = a.callee WHERE name = 'part17') WHERE caller <> target GROUP BY 1, 2) JOIN described ON signature = caller GROUP BY 1""")
+add("q16_code_impact_all", lambda g, t: analytics.impact(g, g.method.select("signature")))
+add("q16_impact_files_all", lambda g, t: analytics.impact_files(analytics.impact(g, g.method.select("signature"))))
 add("q17_operation_hot_paths", lambda g, t: analytics.operation_hot_paths(g, ("part1", "init"), limit=None), "SELECT caller, count(*) AS sinks, CAST(sum(count) AS BIGINT) AS sites FROM calls JOIN method m ON m.signature = callee JOIN method c ON c.signature = caller WHERE m.name LIKE 'part1%' OR m.name LIKE 'init%' GROUP BY 1")
 add("q18_resource_risk_scan", lambda g, t: analytics.risk_scan(t.pages.select("page_id", F.concat_ws(" ", F.lit("MATCH (a)-[*1..]->(b)"), "html", F.lit("DETACH DELETE a")).alias("text")), "page_id"), "SELECT page_id, 1::BIGINT AS unbounded_traversal, 0::BIGINT AS repeated_subquery, 0::BIGINT AS optional_per_row, 1::BIGINT AS broad_write, 0::BIGINT AS write_in_loop, 2::BIGINT AS risk FROM pages")
 add("q19_test_context", lambda g, t: analytics.test_context(g, production_limit=None), "SELECT caller AS test, a.path AS test_path, callee, b.path AS production_path, count FROM calls JOIN described a ON a.signature = caller JOIN described b ON b.signature = callee WHERE a.is_test AND NOT b.is_test")

@@ -58,3 +58,35 @@ def test_all_searches(spark):
             want |= {(q, rank, i) for rank, (_, i) in enumerate(best, 1) if after(i)}
         got = __spark_entry__.queries()[name](spark, SF).collect()
         assert {(r.query_id, r["rank"], r.id) for r in got} == want and len(got) == len(want) and want
+
+
+def test_all_anchors_and_targets(spark):
+    edges = [(r.caller, r.callee, r["count"]) for r in projection.graph(spark, SF).calls.collect()]
+    callers, sides = {}, {}
+    for a, b, n in edges:
+        callers.setdefault(b, set()).add(a)
+        sides.setdefault((b, "caller"), []).append((-n, a))
+        sides.setdefault((a, "callee"), []).append((-n, b))
+    want = {(*k, s, -n) for k, v in sides.items() for n, s in sorted(v)[:3]}
+    got = __spark_entry__.queries()["q7_discovery_context_all"](spark, SF).collect()
+    assert {(r.anchor, r.side, r.signature, r["count"]) for r in got} == want and len(got) == len(want)
+    want = {}
+    for target, near in callers.items():
+        for far in (y for x in near for y in callers.get(x, ())):
+            want[target, far] = 2
+        want |= {(target, x): 1 for x in near}
+        want.pop((target, target), None)
+    got = __spark_entry__.queries()["q16_code_impact_all"](spark, SF).collect()
+    assert {(r.target, r.caller): r.depth for r in got} == want and len(got) == len(want)
+    files = {}
+    for r in got:
+        files.setdefault(r.path, []).append((r.caller, r.depth))
+    found = __spark_entry__.queries()["q16_impact_files_all"](spark, SF).collect()
+    assert {r.path: (r.callers, r.depth) for r in found} == {p: (len({c for c, _ in v}), min(d for _, d in v)) for p, v in files.items()}
+
+
+def test_all_chunks(spark):
+    g = projection.graph(spark, SF)
+    got = __spark_entry__.queries()["v12_code_chunk_text_all"](spark, SF).select("source_label", "source_id", "path").collect()
+    want = [(r.label, r.key, r.path) for r in g.defines.collect()] + [("File", r.path, r.path) for r in g.file.select("path").union(g.code_chunk.select("path")).collect()]
+    assert sorted(tuple(r) for r in got) == sorted(want) and {"Method", "Field", "Class", "File"} <= {r.source_label for r in got}

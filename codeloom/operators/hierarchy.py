@@ -7,12 +7,14 @@ children is met once for each start that reaches it, not once for each pair of i
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import cut
 
-MAX_DEPTH = 100
+FOLD = 16  # levels after which what was seen becomes one table again
 
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, name: str = "closure") -> DataFrame:
@@ -21,13 +23,14 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, name: str = "clos
     first = edges if starts is None else edges.join(starts.select(F.col("start").alias("child")).distinct(), "child", "left_semi")
     frontier = cut(first.select(F.col("child").alias("start"), F.col("parent").alias("node"), F.lit(1).alias("depth")), name)
     seen = frontier
-    for depth in range(2, MAX_DEPTH + 1):
+    for depth in count(2):
         reached = frontier.join(edges, F.col("node") == F.col("child")).select("start", F.col("parent").alias("node")).distinct()
         frontier = cut(reached.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), name)
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if depth % FOLD == 0:
+            seen = cut(seen, name)
 
 
 def with_self(closed: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from codeloom import schema
 from codeloom.functions import names
 from codeloom.graph import Graph
-from codeloom.operators import calls, deletes, edges, memory, metrics, upserts
+from codeloom.operators import calls, deletes, edges, hierarchy, memory, metrics, upserts
 from codeloom.sources import ctags
 
 
@@ -53,6 +53,12 @@ def test_scope_has_descendants_and_implementors(spark, family):
     assert {r.callee_owner_fqn for r in found.collect()} == {"Leaf"}
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(105)] + [("n105", "n0")], "child string, parent string")
+    found = hierarchy.closure(edges, spark.createDataFrame([("n0",)], "start string"))
+    assert got(found) == sorted([("n0", f"n{i}", i) for i in range(1, 106)] + [("n0", "n0", 106)])
+
+
 def test_counts_replace_and_add(spark):
     g = graph(spark, method=[method("A.a()", "A"), method("B.b()", "B")], declares=[("Class", "B", "Method", "B.b()")])
     rows = spark.createDataFrame([("A.a()", "B.b()", None), ("A.a()", "B.b()", 1), ("A.a()", "X.x()", 1), ("no", "B.b()", 1)], "caller string, callee string, count int")

@@ -1,22 +1,24 @@
 """Suffix-array dedup of passages: each byte that a ``WINDOW``-byte string covers goes, if that string also starts in a
 document of smaller doc_id. Strings are judged on the input; matches never cross documents.
 
-Not every suffix is shuffled. Each window names one suffix, the one at its minimizer: the leftmost smallest hash of its
-``GRAM``-byte strings, a choice that depends on the window's bytes alone. Equal windows thus name suffixes with equal
-leading bytes, and neighbouring windows mostly name the same suffix, about one for 15 bytes.
-
-1. Each task lists its suffixes with the run of windows that name them, and keeps one copy of each run (the smallest
-   doc_id's); others are settled there. Runs go as packed arrays of two 48-bit hashes, of the suffix's leading bytes and
-   of the whole run, to buckets by the former.
-2. A bucket settles the runs that have a copy in a smaller document. Of the rest, only suffixes whose leading bytes have
-   further, different runs in other documents can share single windows; these are sorted as text:
-3. sampled splitters range-partition them by their leading bytes; each partition sorts its windows locally by multikey
-   quicksort over 8-byte symbols and settles equal ones, exactly, by the smallest doc_id. Suffixes of equal leading bytes
-   are never parted by a splitter, so no window can be equal to one across a boundary.
-4. The settled runs meet the texts by bucket of document.
-
-Runs (step 2) are compared by 96 hash bits and their bucket; windows (step 3) by their bytes. A group of copies costs one row for each task that
-has seen it, not one for each copy.
+The suffix array is sparse: each window names one suffix, the one at its minimizer (the leftmost smallest hash of its
+``GRAM``-byte strings, a choice that depends on the window's bytes alone). Equal windows thus name suffixes with equal
+leading bytes, at equal places, and neighbouring windows mostly name the same suffix, about one for 15 bytes. A suffix has two
+leading tokens: its lead (a 48-bit hash of its first ``GRAM`` bytes) and its run (a 64-bit hash of all bytes of the windows that name it).
+
+1. Splitters are drawn from a sample of the suffixes in the order (lead, run, doc_id, text hash). Each task lists its suffixes, keeps one copy
+   of each run (the smallest doc_id's; others are settled there) and range-partitions them by the splitters, as packed arrays.
+2. A bucket sorts its suffixes by these tokens; of equal runs all but the smallest document's are settled. Of the rest, only suffixes whose lead has
+   further, different runs in other documents can share single windows; they are sorted by their bytes:
+3. a lead of up to ``HOT`` such suffixes within one bucket is range-partitioned as a whole, by its bytes; each partition sorts its windows by
+   multikey quicksort over 8-byte symbols and settles equal ones by the smallest doc_id.
+4. A lead that is hotter, or that a splitter cuts, goes on as single windows, range-partitioned by (bytes, doc_id, text hash, place), so that even one window
+   can spread over many partitions. Each partition settles its windows but for those equal to its first; the first and last windows
+   of all partitions are then compared across the boundaries, and the smallest doc_id found there settles the rest.
+5. The settled runs meet the texts by bucket of document.
+
+Buckets hold ``bucket_bytes`` of text each, however large the input or frequent a suffix; the sample decides their bounds, never a result. Runs (steps 1 and 2) are compared
+by 112 hash bits, windows (steps 3 and 4) by their bytes. A group of copies costs one row for each task that has seen it, not one for each copy.
 
 Defined cases: a null text is empty (no bytes, none removed); a null doc_id counts as larger than any other; rows of one
 doc_id, told apart by a 64-bit hash of their texts, never remove from each other, and repeated rows get equal results; an empty table gives an empty result; other columns are
@@ -26,19 +28,27 @@ not read. Texts of any length are read whole, in overlapping segments.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, shuffle_partitions, trim
+from .common import discard, materialize, pick, trim
 
 WINDOW, GRAM = 50, 22
 OFFSETS = WINDOW - GRAM + 1  # where in its window a minimizer can be
-SEGMENT, FLUSH = 1 << 19, 250_000
+SEGMENT, FLUSH = 1 << 19, 500_000
+BUCKET_BYTES = 8 << 20
+MOST_BUCKETS = 1 << 18  # their splitters go to all tasks: 8 MB; beyond 2 TB of text buckets grow
+HOT = 4096  # suffixes of one lead that are compared in one partition
+SAMPLE = 256  # suffixes for each splitter
 LOW48 = np.uint64((1 << 48) - 1)
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -100,46 +110,76 @@ class Minimizers:
         return lead[at], whole, np.searchsorted(ends, at, "right"), first, last, at
 
 
-def _pack(key: np.ndarray, tag: np.ndarray, first: np.ndarray, size: np.ndarray, lead=None, whole=None, skip=None) -> bytes:
-    """Runs, ordered by document and place, as bytes: places as differences, compressed; hashes as they are."""
-    order = np.lexsort((first, tag, key))
-    key, tag, first, size = key[order], tag[order], first[order], size[order]
+class Runs(NamedTuple):
+    """Runs of windows as arrays: whose (key, tag), where, and maybe the place of the suffix in them and its tokens."""
+
+    key: np.ndarray
+    tag: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    skip: np.ndarray | None = None
+    lead: np.ndarray | None = None
+    whole: np.ndarray | None = None
+
+    def at(self, index) -> Runs:
+        return Runs(*(None if x is None else x[index] for x in self))
+
+    def plain(self) -> Runs:
+        return Runs(*self[:4])
+
+    def asked(self) -> Runs:
+        return Runs(*self[:5])
+
+    def __len__(self) -> int:  # rows, not columns
+        return self.key.size
+
+
+def _join(parts: list[Runs]) -> Runs:
+    return Runs(*(None if x[0] is None else np.concatenate(x) for x in zip(*parts)))
+
+
+_WIDTHS = {"lead": 6, "whole": 8}
+
+
+def _pack(runs: Runs) -> bytes:
+    """Runs, ordered by document and place, as bytes: places as differences, compressed; tokens as they are."""
+    runs = runs.at(np.lexsort((runs.first, runs.tag, runs.key)))
+    key, tag, first, size = runs[:4]
     new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])
     step = np.diff(first, prepend=0)
     step[new] = first[new]
-    plain = [np.array([len(key), len(new), lead is not None], np.int64), key[new].astype(np.int64), tag[new].astype(np.int64), np.diff(np.r_[new, len(key)]).astype(np.int32), step.astype(np.int32), size.astype(np.int32)]
-    if lead is not None:
-        plain.append(skip[order].astype(np.uint8))
+    more = (runs.skip is not None) + (runs.lead is not None)
+    plain = [np.array([len(key), len(new), more], np.int64), key[new].astype(np.int64), tag[new].astype(np.int64), np.diff(np.r_[new, len(key)]).astype(np.int32), step.astype(np.int64), size.astype(np.int32)]
+    if more:
+        plain.append(runs.skip.astype(np.uint8))
     packed = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in plain))
-    tail = b""
-    if lead is not None:
-        tail = b"".join(np.ascontiguousarray(x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in (lead, whole))
+    tail = b"".join(np.ascontiguousarray(getattr(runs, c).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]).tobytes() for c, w in _WIDTHS.items()) if more > 1 else b""
     return len(packed).to_bytes(8, "little") + packed + tail
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """key, tag, first, size and, if they were packed, skip, lead and whole."""
+def _unpack(blob: bytes) -> Runs:
     cut = 8 + int.from_bytes(blob[:8], "little")
     plain = zstandard.ZstdDecompressor().decompress(blob[8:cut])
     n, d, more = np.frombuffer(plain, np.int64, 3).tolist()
     at = 24
     out = []
-    for kind, m in ((np.int64, d), (np.int64, d), (np.int32, d), (np.int32, n), (np.int32, n)):
+    for kind, m in ((np.int64, d), (np.int64, d), (np.int32, d), (np.int64, n), (np.int32, n)):
         out.append(np.frombuffer(plain, kind, m, at))
         at += out[-1].nbytes
     key, tag, count, step, size = out
     total = np.cumsum(step, dtype=np.int64)
     begins = np.cumsum(count) - count
     base = total[begins] - step[begins] if d else total[:0]
-    first = total - np.repeat(base, count)
-    found = [np.repeat(key, count), np.repeat(tag, count), first, size.astype(np.int64)]
+    found = [np.repeat(key, count), np.repeat(tag, count), total - np.repeat(base, count), size.astype(np.int64)]
     if more:
         found.append(np.frombuffer(plain, np.uint8, n, at).astype(np.int64))
-        for i in range(2):
+    if more > 1:
+        for w in _WIDTHS.values():
             wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, cut + 6 * n * i).reshape(n, 6)
+            wide[:, :w] = np.frombuffer(blob, np.uint8, w * n, cut).reshape(n, w)
             found.append(wide.view("<u8").ravel().astype(np.uint64))
-    return tuple(found)
+            cut += w * n
+    return Runs(*found)
 
 
 def _bucket_of(key: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
@@ -154,7 +194,10 @@ def _by_bucket(bucket: np.ndarray):
         yield int(bucket[order[a]]), order[a:b]
 
 
-RUNS = "bucket int, kind int, data binary"  # kind 0: runs by lead; 1: settled runs by document; 2: runs to compare, by document
+# Packed runs. By bucket of leads: TOKENS; by bucket of documents: GONE (settled), ASK_LEADS and ASK_WINDOWS (to compare);
+# by partition of windows: OPEN (equal to its first window) and EDGE (its first and last window).
+TOKENS, GONE, ASK_LEADS, ASK_WINDOWS, OPEN, EDGE = range(6)
+RUNS = "bucket int, kind int, data binary"
 _NAMES = ["bucket", "kind", "data"]
 
 
@@ -163,124 +206,192 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], names=_NAMES)
 
 
-def _documents(key, tag, first, size, kind, buckets, **more) -> list[tuple[int, int, bytes]]:
-    return [(b, kind, _pack(key[i], tag[i], first[i], size[i], **{n: x[i] for n, x in more.items()})) for b, i in _by_bucket(_bucket_of(key, tag, buckets))]
+def _documents(runs: Runs, kind: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    return [(b, kind, _pack(runs.at(i))) for b, i in _by_bucket(_bucket_of(runs.key, runs.tag, buckets))] if len(runs) else []
+
+
+def _segments(batches: Iterator[pa.RecordBatch], minimizers: Minimizers) -> Iterator[Runs]:
+    """The runs of all texts, a buffer at a time."""
+    units: list[tuple[int, int, int, bytes]] = []
+    size = 0
+
+    def measure() -> Runs:
+        data = [u[3] for u in units]
+        ends = np.cumsum([len(x) for x in data])
+        lead, whole, unit, first, last, at = minimizers.runs(b"".join(data), ends)
+        key, tag, base = (np.array([u[i] for u in units], np.int64) for i in range(3))
+        shift = base - (ends - [len(x) for x in data])
+        units.clear()
+        return Runs(key[unit], tag[unit], first + shift[unit], last - first, at - first, lead & LOW48, whole)
+
+    for batch in batches:
+        for key, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            data = text.as_py()
+            if not data or len(data) < WINDOW:
+                continue
+            for at in range(0, len(data) - WINDOW + 1, SEGMENT):
+                part = data[at : at + SEGMENT + WINDOW - 1]
+                if size + len(part) > 2 * SEGMENT:
+                    yield measure()
+                    size = 0
+                units.append((key, tag, at, part))
+                size += len(part)
+            if size >= SEGMENT:
+                yield measure()
+                size = 0
+    if units:
+        yield measure()
+
+
+TOKEN_COLUMNS = "lead long, whole long, k long, tag long"
+
+
+def _draw(thin: int):
+    """About one in ``thin`` suffixes, by a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _segments(batches, Minimizers()):
+            drawn = _mix(runs.whole ^ (runs.key.astype(np.uint64) * np.uint64(_BASE)) + runs.first.astype(np.uint64)) % np.uint64(thin) == 0
+            some = runs.at(np.flatnonzero(drawn))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (some.lead, some.whole, some.key, some.tag)], names=[f.split()[0] for f in TOKEN_COLUMNS.split(", ")])
+
+    return run
+
+
+class Splitters(NamedTuple):
+    """Bounds of the buckets of leads: bucket b holds the suffixes from splitter b - 1 on and before splitter b."""
+
+    lead: np.ndarray
+    whole: np.ndarray
+    key: np.ndarray
+    tag: np.ndarray
+
+    @staticmethod
+    def of(lead: np.ndarray, whole: np.ndarray, key: np.ndarray, tag: np.ndarray, buckets: int) -> Splitters:
+        order = np.lexsort((tag, key, whole, lead))
+        pick_ = order[np.unique(np.linspace(0, len(order), buckets + 1).astype(int)[1:-1])] if len(order) else order
+        found = np.unique(np.stack([lead[pick_], whole[pick_], key[pick_].view(np.uint64), tag[pick_].view(np.uint64)], 1), axis=0) if len(pick_) else np.empty((0, 4), np.uint64)
+        lead, whole, key, tag = found[:, 0], found[:, 1], found[:, 2].view(np.int64), found[:, 3].view(np.int64)
+        order = np.lexsort((tag, key, whole, lead))
+        return Splitters(*(np.ascontiguousarray(x[order]) for x in (lead, whole, key, tag)))
 
+    def cuts(self, runs: Runs) -> np.ndarray:
+        """Where each splitter cuts sorted runs: the first that isn't smaller."""
+        low, high = (np.searchsorted(runs.lead, self.lead, side) for side in ("left", "right"))
+        for j in np.flatnonzero(high > low):
+            a, b = low[j], high[j]
+            for column, value in ((runs.whole, self.whole[j]), (runs.key, self.key[j]), (runs.tag, self.tag[j])):
+                a, b = (a + np.searchsorted(column[a:b], value, side) for side in ("left", "right"))
+            low[j] = a
+        return low
 
-def _list_runs(lead_buckets: int, buckets: int):
+    def cut_leads(self, bucket: int) -> np.ndarray:
+        """The leads of a bucket that others may have too."""
+        return self.lead[max(0, bucket - 1) : bucket + 1]
+
+
+def _list_runs(splitters: Splitters, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minimizers = Minimizers()
-        held: list[tuple[np.ndarray, ...]] = []
-        units: list[tuple[int, int, int, bytes]] = []
-        size = n_held = 0
-
-        def measure():
-            nonlocal size, n_held
-            data = [u[3] for u in units]
-            lead, whole, unit, first, last, at = minimizers.runs(b"".join(data), np.cumsum([len(x) for x in data]))
-            key, tag, base = (np.array([u[i] for u in units], np.int64) for i in range(3))
-            shift = base - (np.cumsum([len(x) for x in data]) - [len(x) for x in data])
-            held.append((lead, whole, key[unit], tag[unit], first + shift[unit], last - first, at - first))
-            n_held += len(lead)
-            size = 0
-            units.clear()
+        held: list[Runs] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal n_held
-            lead, whole, key, tag, first, length, skip = (np.concatenate(x) for x in zip(*held))
+            runs = _join(held)
             held.clear()
-            n_held = 0
-            order = np.lexsort((key, whole, lead))
-            new = np.r_[True, (lead[order][1:] != lead[order][:-1]) | (whole[order][1:] != whole[order][:-1])] if len(order) else np.empty(0, bool)
-            least = key[order][new][np.cumsum(new) - 1]
-            gone, rest = order[key[order] > least], order[key[order] == least]
-            rows = _documents(key[gone], tag[gone], first[gone], length[gone], 1, buckets)
-            lead_bucket = ((lead[rest] >> np.uint64(32)) * np.uint64(lead_buckets) >> np.uint64(32)).astype(np.int64)
-            for b, i in _by_bucket(lead_bucket):
-                i = rest[i]
-                rows.append((b, 0, _pack(key[i], tag[i], first[i], length[i], lead=lead[i] & LOW48, whole=whole[i] & LOW48, skip=skip[i])))
+            if not len(runs):
+                return _rows([])
+            runs = runs.at(np.lexsort((runs.tag, runs.key, runs.whole, runs.lead)))
+            new = np.r_[True, (runs.lead[1:] != runs.lead[:-1]) | (runs.whole[1:] != runs.whole[:-1])]
+            gone = runs.key > runs.key[new][np.cumsum(new) - 1]
+            rows = _documents(runs.at(gone).plain(), GONE, buckets)
+            runs = runs.at(~gone)
+            cuts = [0, *splitters.cuts(runs).tolist(), len(runs)]
+            rows += [(b, TOKENS, _pack(runs.at(slice(x, y)))) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
             return _rows(rows)
 
-        for batch in batches:
-            for key, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = text.as_py()
-                if not data or len(data) < WINDOW:
-                    continue
-                for at in range(0, len(data) - WINDOW + 1, SEGMENT):
-                    part = data[at : at + SEGMENT + WINDOW - 1]
-                    if size + len(part) > 2 * SEGMENT:
-                        measure()
-                    units.append((key, tag, at, part))
-                    size += len(part)
-                if size >= SEGMENT:
-                    measure()
-                if n_held >= FLUSH:
-                    yield flush()
-        if units:
-            measure()
-        if n_held:
+        for runs in _segments(batches, minimizers):
+            held.append(runs)
+            if sum(map(len, held)) >= FLUSH:
+                yield flush()
+        if held:
             yield flush()
         del minimizers
-        held.clear()
         trim()
 
     return run
 
 
-def _settle(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows, parts = [], []
-        for bucket, kind, data in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), table.column(2)):
-            if kind:
-                rows.append((bucket, kind, data.as_py()))
-            else:
-                parts.append(_unpack(data.as_py()))
+def _settle(splitters: Splitters, buckets: int, hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, bucket = [], 0
+        for batch in batches:
+            rows = []
+            for b, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if kind == TOKENS:
+                    bucket = b
+                    parts.append(_unpack(data.as_py()))
+                else:
+                    rows.append((b, kind, data.as_py()))
+            if rows:
+                yield _rows(rows)
         if parts:
-            key, tag, first, size, skip, lead, whole = (np.concatenate(x) for x in zip(*parts))
-            del parts
-            order = np.lexsort((key, whole, lead))
-            lead, whole, key = lead[order], whole[order], key[order]
-            tag, first, size, skip = tag[order], first[order], size[order], skip[order]
-            new_lead = np.r_[True, lead[1:] != lead[:-1]]
-            new = new_lead | np.r_[True, whole[1:] != whole[:-1]]
-            gone = key > key[new][np.cumsum(new) - 1]
+            runs = _join(parts)
+            parts.clear()
+            runs = runs.at(np.lexsort((runs.tag, runs.key, runs.whole, runs.lead)))
+            new_lead = np.r_[True, runs.lead[1:] != runs.lead[:-1]]
+            new = new_lead | np.r_[True, runs.whole[1:] != runs.whole[:-1]]
+            gone = runs.key > runs.key[new][np.cumsum(new) - 1]
             heads = np.flatnonzero(new_lead)
+            cut = np.isin(runs.lead[heads], splitters.cut_leads(bucket))  # other buckets may have more of it
+            differ = cut | ((np.minimum.reduceat(runs.key, heads) != np.maximum.reduceat(runs.key, heads)) & (np.add.reduceat(new, heads) > 1))
+            single = cut | (np.add.reduceat(~gone, heads) > hot)
             group = np.cumsum(new_lead) - 1
-            differ = (np.minimum.reduceat(key, heads) != np.maximum.reduceat(key, heads)) & (np.add.reduceat(new, heads) > 1)
-            ask = ~gone & differ[group]
-            rows += _documents(key[gone], tag[gone], first[gone], size[gone], 1, buckets)
-            rows += _documents(key[ask], tag[ask], first[ask], size[ask], 2, buckets, lead=lead[ask], whole=whole[ask], skip=skip[ask])
-            del key, tag, first, size, skip, lead, whole, order, gone, ask, group
-        out = pa.Table.from_batches([_rows(rows)])
-        rows.clear()
+            yield _rows(_documents(runs.at(gone).plain(), GONE, buckets))
+            for kind, chosen in ((ASK_LEADS, differ & ~single), (ASK_WINDOWS, differ & single)):
+                yield _rows(_documents(runs.at(~gone & chosen[group]).asked(), kind, buckets))
+            del runs, new_lead, new, gone, heads, group
         trim()
-        return out
 
     return run
 
 
-def _texts(docs: pa.Table) -> dict[tuple[int, int], bytes]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return {(k, t): unpack(z.as_py()) for k, t, z in zip(docs.column("k").to_pylist(), docs.column("tag").to_pylist(), docs.column("packed"))}
-
+MIXED = "bucket int, kind int, doc_id long, k long, tag long, data binary"  # texts have kind -1
+SUFFIXES = "sort binary, single boolean, k long, tag long, first long, skip int, run binary"
+_SUFFIX_KINDS = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
-SUFFIXES = "lead binary, k long, tag long, first long, skip int, run binary"
 
-
-def _fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
-    """The bytes of the runs to compare."""
-    wanted = [_unpack(x.as_py()) for x in asked.column("data")]
-    out = [[] for _ in range(6)]
-    if wanted:
-        texts = _texts(docs)
-        for key, tag, first, size, skip in zip(*(np.concatenate(x).tolist() for x in list(zip(*wanted))[:5])):
-            text = texts[key, tag][first : first + size]
-            for column, value in zip(out, (text[skip : skip + GRAM], key, tag, first, skip, text)):
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the runs to compare: a row for each suffix, by its lead, or for each single window."""
+    texts, asked = {}, []
+    for batch in batches:
+        for kind, k, tag, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "k", "tag", "data"))):
+            if kind < 0:
+                texts[k, tag] = data
+            else:
+                asked.append((kind == ASK_WINDOWS, data))
+    unpack = zstandard.ZstdDecompressor().decompress
+    names = [f.split()[0] for f in SUFFIXES.split(", ")]
+    out: list[list] = [[] for _ in names]
+    owner, whole = None, b""
+    runs = [(single, _unpack(data)) for single, data in asked]
+    asked.clear()
+    flat = sorted((k, tag, first, size, skip, single) for single, r in runs for k, tag, first, size, skip in zip(*(x.tolist() for x in r[:5])))
+    runs.clear()
+    for k, tag, first, size, skip, single in flat:
+        if owner != (k, tag):
+            owner = (k, tag)
+            whole = unpack(texts[owner])
+        text = whole[first : first + size]
+        found = [(text[i : i + WINDOW], True, k, tag, first + i, 0, None) for i in range(size - WINDOW + 1)] if single else [(text[skip : skip + GRAM], False, k, tag, first, skip, text)]
+        for row in found:
+            for column, value in zip(out, row):
                 column.append(value)
-        del texts
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        if len(out[0]) >= 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SUFFIX_KINDS)], names=names)
+            out = [[] for _ in names]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SUFFIX_KINDS)], names=names)
+    del texts, flat, out, whole
     trim()
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[f.split()[0] for f in SUFFIXES.split(", ")])
 
 
 def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,90 +413,154 @@ def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
+def _symbols(windows: np.ndarray) -> np.ndarray:
+    padded = np.zeros((len(windows), -(-WINDOW // 8) * 8), np.uint8)
+    padded[:, :WINDOW] = windows
+    return padded.view(">u8").astype(np.uint64)
+
+
+def _merged(runs: Runs) -> Runs:
+    """Overlapping and touching runs of a document become one."""
+    if not len(runs):
+        return runs
+    runs = runs.at(np.lexsort((runs.first, runs.tag, runs.key)))
+    k, t, place = runs[:3]
+    new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (place[1:] > place[:-1] + WINDOW)]  # windows, all of one size
+    heads = np.flatnonzero(new)
+    ends = place[np.r_[heads[1:] - 1, len(place) - 1].astype(int)] + WINDOW
+    return Runs(k[heads], t[heads], place[heads], ends - place[heads])
+
+
+def _windows(key, tag, place) -> Runs:
+    return Runs(key, tag, place, np.full(len(key), WINDOW))
+
+
+def _compare_leads(table: pa.Table) -> Runs:
+    """The windows of suffixes with equal leads that a smaller document has too."""
+    key, tag, first, skip = (table.column(c).to_numpy().astype(np.int64) for c in ("k", "tag", "first", "skip"))
+    runs = table.column("run").to_pylist()
+    size = np.array([len(r) for r in runs])
+    begin = np.cumsum(size) - size
+    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(runs), np.uint8), WINDOW)
+    hits = [(np.empty(0, np.int64),) * 2]
+    for offset in range(OFFSETS):  # equal windows have their suffix at the same place
+        own = np.flatnonzero((skip >= offset) & (skip - offset + WINDOW <= size))
+        if len(own) < 2:
+            continue
+        at = skip[own] - offset
+        order, same = multikey_order(_symbols(view[begin[own] + at]))
+        new = np.r_[True, ~same]
+        k = key[own][order]
+        hit = k > np.minimum.reduceat(k, np.flatnonzero(new))[np.cumsum(new) - 1]
+        hits.append((own[order][hit], at[order][hit]))
+    row, at = (np.concatenate(x) for x in zip(*hits))
+    return _windows(key[row], tag[row], first[row] + at)
+
+
+def _compare_windows(table: pa.Table) -> tuple[Runs, Runs, bytes]:
+    """Of single windows, in a partition: those that a smaller document has too; those equal to the partition's first; and its edges."""
+    key, tag, place = (table.column(c).to_numpy().astype(np.int64) for c in ("k", "tag", "first"))
+    windows = np.frombuffer(b"".join(table.column("sort").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    order, same = multikey_order(_symbols(windows))
+    heads = np.flatnonzero(np.r_[True, ~same])
+    k = key[order]
+    least = np.minimum.reduceat(k, heads)
+    group = np.cumsum(np.r_[True, ~same]) - 1
+    hit = order[(group > 0) & (k > least[group])]
+    open_ = order[group == 0]
+    head = min(zip(*(x[open_].tolist() for x in (key, tag, place))))
+    edge = [windows[order[0]].tobytes().hex(), *head, int(least[0]), windows[order[-1]].tobytes().hex(), int(least[-1])]
+    return _windows(key[hit], tag[hit], place[hit]), _windows(key[open_], tag[open_], place[open_]), json.dumps(edge).encode()
+
+
 def _compare(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
         if not found:
             return
         table = pa.Table.from_batches(found)
-        key, tag, first, skip = (table.column(i).to_numpy().astype(np.int64) for i in range(1, 5))
-        runs = table.column(5).to_pylist()
-        size = np.array([len(r) for r in runs])
-        begin = np.cumsum(size) - size
-        buffer = np.frombuffer(b"".join(runs), np.uint8)
-        view = np.lib.stride_tricks.sliding_window_view(buffer, WINDOW)
-        hits = []
-        for offset in range(OFFSETS):  # equal windows have their suffix at the same place
-            own = np.flatnonzero((skip >= offset) & (skip - offset + WINDOW <= size))
-            if len(own) < 2:
-                continue
-            at = skip[own] - offset
-            padded = np.zeros((len(own), -(-WINDOW // 8) * 8), np.uint8)
-            padded[:, :WINDOW] = view[begin[own] + at]
-            order, same = multikey_order(padded.view(">u8").astype(np.uint64))
-            new = np.r_[True, ~same]
-            k = key[own][order]
-            least = np.minimum.reduceat(k, np.flatnonzero(new))[np.cumsum(new) - 1]
-            hit = k > least
-            hits.append((own[order][hit], at[order][hit]))
-        if hits:
-            row, at = (np.concatenate(x) for x in zip(*hits))
-            place = first[row] + at
-            order = np.lexsort((place, tag[row], key[row]))
-            row, place = row[order], place[order]
-            k, t = key[row], tag[row]
-            new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (place[1:] > place[:-1] + WINDOW)] if len(row) else np.empty(0, bool)
-            heads = np.flatnonzero(new)
-            ends = place[np.r_[heads[1:] - 1, len(row) - 1].astype(int)] + WINDOW if len(row) else place
-            if len(row):
-                yield _rows(_documents(k[heads], t[heads], place[heads], ends - place[heads], 1, buckets))
-        del table, runs, buffer, view, hits, found
+        single = table.column("single")
+        leads, windows = table.filter(pc.invert(single)), table.filter(single)
+        if len(leads):
+            yield _rows(_documents(_merged(_compare_leads(leads)), GONE, buckets))
+        if len(windows):
+            gone, open_, edge = _compare_windows(windows)
+            part = TaskContext.get().partitionId()
+            yield _rows([*_documents(_merged(gone), GONE, buckets), (part, OPEN, _pack(open_)), (part, EDGE, edge)])
+        del table, leads, windows, found
         trim()
 
     return run
 
 
+def carry(edges: list[tuple[int, bytes]]) -> dict[int, int]:
+    """For each partition of windows, in their order, the smallest document with its first window, there or before."""
+    rows = sorted((bytes.fromhex(first), k, tag, place, least, bytes.fromhex(last), last_least, part) for part, (first, k, tag, place, least, last, last_least) in ((p, json.loads(e)) for p, e in edges))
+    out: dict[int, int] = {}
+    window, smallest = b"", LAST
+    for first, _, _, _, least, last, last_least, part in rows:
+        out[part] = min(least, smallest) if first == window else least
+        window, smallest = last, out[part] if first == last else last_least
+    return out
+
+
+def _close(smallest: dict[int, int], buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                runs = _unpack(data.as_py())
+                yield _rows(_documents(_merged(runs.at(runs.key > smallest[part]).plain()), GONE, buckets))
+
+    return run
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<bigint>, kept binary, kept_sha256 string"
+_RESULT_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string())
 
 
 def _remove(with_text: bool):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string())
-
-    def run(docs: pa.Table, settled: pa.Table) -> pa.Table:
-        spans: dict[tuple[int, int], list] = {}
-        parts = [_unpack(x.as_py()) for x in settled.column("data")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, parts = [], []
+        for batch in batches:
+            for kind, doc_id, k, tag, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc_id", "k", "tag", "data"))):
+                docs.append((doc_id, k, tag, data)) if kind < 0 else parts.append(_unpack(data))
+        spans: dict[tuple[int, int], tuple] = {}
         if parts:
-            key, tag, first, size = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((tag, key))
-            key, tag, first, size = key[order], tag[order], first[order], size[order]
-            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)]):
-                spans[int(key[a]), int(tag[a])] = (first[a:b], size[a:b])
+            runs = _join(parts)
+            parts.clear()
+            runs = runs.at(np.lexsort((runs.tag, runs.key)))
+            cuts = np.flatnonzero(np.r_[True, (runs.key[1:] != runs.key[:-1]) | (runs.tag[1:] != runs.tag[:-1])])
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(runs)]):
+                spans[int(runs.key[a]), int(runs.tag[a])] = (runs.first[a:b], runs.size[a:b])
         unpack = zstandard.ZstdDecompressor().decompress
-        out = [[] for _ in kinds]
-        for doc_id, k, t, z in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "k", "tag", "packed"))):
-            data = kept = unpack(z)
-            runs: list[int] = []
-            if (own := spans.get((k, t))) is not None:
+        names = [f.split()[0] for f in RESULT.split(", ")]
+        out: list[list] = [[] for _ in names]
+        held = 0
+        for doc_id, k, tag, packed in docs:
+            data = kept = unpack(packed)
+            removed: list[int] = []
+            if (own := spans.get((k, tag))) is not None:
                 cover = np.zeros(len(data) + 1, np.int32)
                 np.add.at(cover, own[0], 1)
                 np.add.at(cover, own[0] + own[1], -1)
                 gone = np.cumsum(cover) > 0
-                runs = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0)).tolist()
+                removed = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0)).tolist()
                 kept = np.frombuffer(data, np.uint8)[~gone[:-1]].tobytes()
-            for column, value in zip(out, (doc_id, len(data), len(data) - len(kept), runs, kept if with_text else None, hashlib.sha256(kept).hexdigest())):
+            for column, value in zip(out, (doc_id, len(data), len(data) - len(kept), removed, kept if with_text else None, hashlib.sha256(kept).hexdigest())):
                 column.append(value)
-        result = pa.Table.from_arrays([pa.array(c, x) for c, x in zip(out, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
-        del out, spans, parts
+            held += with_text * len(kept) + 200
+            if held > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, _RESULT_KINDS)], names=names)
+                out, held = [[] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, _RESULT_KINDS)], names=names)
+        del out, spans, docs
         trim()
-        return result
 
     return run
 
 
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """The texts, compressed, by bucket of document."""
-    schema = "bucket int, doc_id long, k long, tag long, packed binary"
+    """The texts, compressed, with their bucket of documents."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -393,26 +568,44 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
             doc_id, k, tag, text = batch.columns
             bucket = _bucket_of(k.to_numpy(), tag.to_numpy(), buckets)
             packed = [pack(t.as_py() or b"") for t in text]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), doc_id, k, tag, pa.array(packed, pa.binary())], names=[f.split()[0] for f in schema.split(", ")])
+            kind = np.full(len(bucket), -1, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind), doc_id, k, tag, pa.array(packed, pa.binary())], names=[f.split()[0] for f in MIXED.split(", ")])
 
-    return docs.select("doc_id", "k", "tag", "data").mapInArrow(run, schema)
+    return docs.select("doc_id", "k", "tag", "data").mapInArrow(run, MIXED)
 
 
-def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = True, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept, kept_sha256`` of every row; spans are flat (start, end) of maximal removed runs in bytes, kept the bytes that are left (null unless ``with_text``)."""
-    spark = docs.sparkSession
-    partitions = max(2, shuffle_partitions(spark))
-    buckets = 4 * partitions  # of documents and of leads: small ones, since a bucket is in memory as a whole
     rows = pick(docs, doc_id="doc_id", text="text")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, n_bytes // bucket_bytes + 1)
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("data"))
-    listed = rows.select("k", "tag", "data").mapInArrow(_list_runs(buckets, buckets), RUNS)
-    settled = materialize(listed.groupBy("bucket").applyInArrow(_settle(buckets), RUNS), "runs")
+    texts = rows.select("k", "tag", "data")
+
+    per_splitter = n_bytes // buckets // 15  # suffixes
+    one_in = max(1, min(128, per_splitter // (16 * SAMPLE)))
+    some = texts.where(F.pmod(F.xxhash64("k", "tag", F.lit(7)), F.lit(one_in)) == 0) if buckets > 1 else texts.limit(0)
+    drawn = some.mapInArrow(_draw(max(1, per_splitter // one_in // SAMPLE)), TOKEN_COLUMNS).toArrow()
+    splitters = Splitters.of(*(drawn.column(c).to_numpy().view(t) for c, t in (("lead", np.uint64), ("whole", np.uint64), ("k", np.int64), ("tag", np.int64))), buckets)
+
+    listed = texts.mapInArrow(_list_runs(splitters, buckets), RUNS)
+    settled = materialize(listed.repartitionById(buckets, "bucket").mapInArrow(_settle(splitters, buckets, hot), RUNS), "runs")
     packed = _packed(rows, buckets)
-    asked = settled.where("kind = 2").select("bucket", "data")
-    suffixes = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch, SUFFIXES)
-    compared = suffixes.repartitionByRange(partitions, "lead").mapInArrow(_compare(buckets), RUNS)
-    gone = settled.where("kind = 1").union(compared).select("bucket", "data")
-    return packed.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(_remove(with_text), RESULT)
+
+    def with_texts(runs: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("long")
+        return packed.union(runs.select("bucket", "kind", none, none, none, "data")).repartitionById(buckets, "bucket")
+
+    asked = settled.where(F.col("kind").isin(ASK_LEADS, ASK_WINDOWS))
+    suffixes = materialize(with_texts(asked).mapInArrow(_fetch, SUFFIXES), "suffixes")
+    single = lambda c: F.when(F.col("single"), F.col(c)).otherwise(0)
+    ranged = suffixes.repartitionByRange(buckets, "single", "sort", single("k"), single("tag"), single("first"))
+    compared = materialize(ranged.mapInArrow(_compare(buckets), RUNS), "compared")
+    discard(suffixes)
+    smallest = carry([(r.bucket, r.data) for r in compared.where(F.col("kind") == EDGE).collect()])  # a row for each partition
+    closed = compared.where(F.col("kind") == OPEN).select("bucket", "data").mapInArrow(_close(smallest, buckets), RUNS)
+    gone = settled.where(F.col("kind") == GONE).union(compared.where(F.col("kind") == GONE)).union(closed)
+    return with_texts(gone).mapInArrow(_remove(with_text), RESULT)
 
 
 def report(docs: DataFrame) -> DataFrame:

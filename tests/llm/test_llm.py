@@ -86,9 +86,8 @@ def test_tiff(spark, docs, texts):
     assert all(p.error for p in pages if p.doc_id in (2, 3, 4))
 
 
-def test_suffix_dedup(spark, docs, texts):
-    got = rows(suffix_dedup.dedup(docs))
-    first = {}
+def brute_dedup(texts):
+    first, out = {}, []
     for i, t in enumerate(texts):
         b, cover = (t or "").encode(), np.zeros(len((t or "").encode()) + 1, int)
         for s in range(len(b) - 49):
@@ -97,12 +96,42 @@ def test_suffix_dedup(spark, docs, texts):
                 cover[s + 50] -= 1
         gone = np.cumsum(cover)[:-1] > 0
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        assert bytes(got[i].kept) == kept and got[i].n_removed == gone.sum() and got[i].n_bytes == len(b)
-        assert got[i].spans == np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0])).tolist()
+        out.append((len(b), int(gone.sum()), np.flatnonzero(np.diff(np.r_[0, gone.astype(int), 0])).tolist(), kept))
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes, hot", [(1 << 23, 4096), (20_000, 3), (4_000, 0)])  # 1 to some 60 buckets
+def test_suffix_dedup(spark, docs, texts, bucket_bytes, hot):
+    got = rows(suffix_dedup.dedup(docs, bucket_bytes=bucket_bytes, hot=hot))
+    for i, want in enumerate(brute_dedup(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].spans, bytes(got[i].kept)) == want
     assert got[None].n_removed == len(texts[0].encode()) if len(texts[0].encode()) >= 50 else True  # null counts as the largest
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_one_lead_in_many_runs(spark):
+    from pyspark.sql import functions as F
+
+    n, lead = 100_000, "this header is one for all of them: "
+    made = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(lead), F.sha2((F.col("id") % (n // 2)).cast("string"), 256)).alias("text"))
+    out = suffix_dedup.dedup(made, with_text=False, bucket_bytes=1 << 18)
+    assert out.where("n_removed = n_bytes").count() == n // 2 == out.where("doc_id >= 50000 and n_removed = n_bytes").count()
+    assert out.where("doc_id < 50000 and n_removed > 0").count() == 0
+    one = spark.range(3000).select((3000 - F.col("id")).alias("doc_id"), F.lit(lead * 4).alias("text")).union(spark.range(2000).select(F.lit(None).cast("long"), F.concat(F.lit(lead * 4), "id")))
+    out = suffix_dedup.dedup(one, with_text=False, bucket_bytes=1 << 12, hot=10)
+    assert out.where("n_removed = 0").select("doc_id").collect() == [(1,)]
+    assert out.where("doc_id is null and n_bytes - n_removed between 1 and 4").count() == 2000
+
+
+def test_suffix_dedup_carry():
+    import json
+
+    a, b, c = (bytes([x]) * 50 for x in (1, 2, 3))
+    edge = lambda first, head, least, last, last_least: json.dumps([first.hex(), *head, least, last.hex(), last_least]).encode()
+    edges = [(7, edge(a, (5, 0, 0), 5, b, 2)), (3, edge(b, (4, 0, 0), 4, b, 4)), (9, edge(b, (6, 0, 0), 6, c, 8)), (1, edge(c, (9, 1, 1), 9, c, 9))]
+    assert suffix_dedup.carry(edges[::-1]) == {7: 5, 3: 2, 9: 2, 1: 8} and suffix_dedup.carry([]) == {}
+
+
 def test_suffix_dedup_texts_of_one_32_bit_hash(spark):
     from pyspark.sql import functions as F
 

@@ -284,13 +284,43 @@ def test_simhash(spark, docs, texts):
         assert got[i].component_id == min(x for x in seen if x is not None)
     r = np.random.RandomState(0)
     f = np.sort(np.unique(np.r_[r.randint(0, 2**62, 300), *(r.randint(0, 2**62, 20)[:, None] ^ (1 << r.randint(0, 62, (20, 9)))).T]).astype(np.uint64))
-    i, j, _ = simhash.trie_pairs(np.zeros(len(f), np.uint64), f)
+    i, j = simhash.trie_pairs(f)
     want = {(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if int(f[a] ^ f[b]).bit_count() <= 2}
     assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
     left = simhash.drop_copies(docs).collect()
     assert len([x for x in left if x.doc_id is not None]) == len({got[i].component_id for i in fp}) and len(left) > 5
 
 
+@pytest.mark.parametrize("budget, leaves", [(0, 50), (1, 50), (2, 10_000), (2, 40), (3, 100), (6, 200)])
+def test_simhash_trie_over_shards(spark, budget, leaves):
+    r = np.random.RandomState(budget)
+    f = r.randint(0, 2**63, 300).astype(np.uint64) << np.uint64(1)
+    hot = np.uint64(0xABCDEF0123 << 24) | r.randint(0, 2**24, 500).astype(np.uint64)  # one prefix of 40 bits for over half of all
+    flips = np.bitwise_xor.reduce(np.uint64(1) << r.randint(0, 64, (7, 400)).astype(np.uint64) * (r.rand(7, 400) < 0.6).astype(np.uint64), axis=0)
+    f = np.unique(np.r_[f, hot, r.choice(f, 400) ^ flips, hot ^ np.uint64(1 << 40)])
+    distinct = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    got = [(x.a, x.b) for x in simhash.links(distinct, budget, leaves).collect()]
+    apart = np.bitwise_count(f[:, None] ^ f[None])
+    i, j = np.nonzero((apart <= budget) & (f.view(np.int64)[:, None] < f.view(np.int64)[None]))
+    assert sorted(got) == sorted(zip(f.view(np.int64)[i].tolist(), f.view(np.int64)[j].tolist())) and (budget == 0 or len(got) > 50)
+
+
+def test_simhash_trie_prunes_on_the_driver_s_table():
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    try:
+        texts = pq.read_table(path, columns=["text"]).column(0).to_pylist()
+    except FileNotFoundError:
+        pytest.skip("no table")
+    f = np.unique(np.array([simhash.majority(np.array(simhash.shingle_hashes(t), np.uint64)) for t in texts], np.uint64))
+    seen = simhash.Counter()
+    i, j = simhash.trie_pairs(f, seen=seen)
+    assert seen["split"] > 1000 and seen["pruned"] > 1000 and seen["compared"] * 4 < len(f) ** 2 / 2
+    apart = np.bitwise_count(f[:, None] ^ f[None])
+    assert len(i) == ((apart > 0) & (apart <= 2)).sum() // 2
+
+
 def test_secrets(spark, docs, texts):
     got = rows(secrets_scan.report(docs))
     flags = re.IGNORECASE | re.ASCII

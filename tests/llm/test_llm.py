@@ -152,17 +152,56 @@ def test_multikey_order():
 
 
 def test_chat(spark):
-    seen = [(1, 1, 0), (3, 0, 1), (3, 1, 0), (2, 0, 0), (0, 1, 0)]
-    best = max(np.ndindex(*(6,) * 5), key=lambda s: chat.START[s[0]] + sum(chat.EMISSIONS[(k, *o)] for k, o in zip(s, seen)) + sum(chat.TRANSITIONS[a, b] for a, b in zip(s, s[1:])))
-    assert chat.viterbi(seen) == list(best)
+    seen = [(1, 1, 0, 0), (3, 0, 1, 0), (3, 1, 0, 1), (2, 0, 0, 0), (0, 1, 0, 0)]
+    score = lambda s: chat.START[s[0]] + sum(chat.EMISSIONS[(k, *o)] for k, o in zip(s, seen)) + sum(chat.TRANSITIONS[a, b] for a, b in zip(s, s[1:]))
+    assert chat.viterbi(seen) == list(max(np.ndindex(*(6,) * 5), key=lambda s: (score(s), [-x for x in s[::-1]])))
     assert chat.parse("User: hi?\n\nAssistant: yes\nmore\n\nand you?\n\nBot: fine") == [("user", "hi?"), ("assistant", "yes\nmore"), ("user", "and you?"), ("assistant", "fine")]
-    assert chat.parse(None) == chat.parse("") == []
-    c = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, None, None, "x"), (2, 300, "system", "be brief"), (2, 5, "user", "q")], "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.segment): r for r in chat.report(c).collect()}
-    assert set(got) == {(1, 0), (None, 0), (2, 1), (2, 0)} and got[1, 0].chat.startswith("<|im_start|>user\nhello<|im_end|>")
+    assert chat.parse("User: what is it?\nA - the first option\nor this\n\nAssistant:\ndef f():\n\n    return 1\n\n\nUser: Q > x") == [("user", "what is it?\nA - the first option\nor this"), ("assistant", "\ndef f():\n\n    return 1"), ("user", "Q > x")]
+    assert chat.parse(None) == chat.parse("") == chat.parse(" \n\n") == []
+    c = spark.createDataFrame([(1, 0, "user", "hello", "x"), (1, 1, "assistant", None, "x"), (1, 1, "assistant", None, "x"), (None, None, None, "x", "x"), (2, 300, "system", "be brief", "x"), (2, 5, "user", "q", "x")], "conv_id long, turn long, role string, text string, TEXT string")
+    got = {}
+    for r in sorted(chat.report(c).collect(), key=lambda r: r.line):
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {1: [("user", "hello"), ("assistant", ""), ("assistant", "")], None: [("user", "x")], 2: [("user", "q"), ("system", "be brief")]}
     assert chat.report(c.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 24, 3000, 300])
+def test_chat_of_any_length_as_in_one_walk(spark, part_bytes):
+    r = random.Random(8)
+    line = lambda: r.choice(["", "", "  ", "User: ", "Assistant: ", "A - ", "    x = ", "sys: ", ""]) + " ".join(r.choice("abcdefg") for _ in range(r.randint(0, 5))) + r.choice(["", "", "?"])
+    chunk = lambda: "\n".join(line() for _ in range(r.randint(1, 4)))
+    sizes = {0: 3, 1: 400, 2: 1, 3: 2, None: 200, 4: 30, 5: 5}
+    made = [(c, k, chunk() if k % 50 < 45 else r.choice(["", "\n", None])) for c, n in sizes.items() for k in range(n)]
+    chunks = spark.createDataFrame(r.sample(made, len(made)), "conv_id long, at long, chunk string")
+    out = chat.format_chats(chunks, ("at",), part_bytes).collect()
+    for c in sizes:
+        whole = "\n\n".join(t or "" for i, _, t in made if i == c)
+        own = sorted((x for x in out if x.conv_id == c), key=lambda x: x.line)
+        assert "".join(x.rendered for x in own) == chat.render(chat.parse(whole))
+        joined = []
+        for x in own:
+            joined[-1:] = [(joined[-1][0], joined[-1][1] + x.text)] if x.goes_on else [*joined[-1:], (x.role, x.text)]
+        assert joined == chat.parse(whole)
+    assert any(x.goes_on for x in out) == (part_bytes < 1 << 24)
+
+
+def test_chat_roles_on_the_driver_s_table(spark):
+    try:
+        table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    except Exception:
+        pytest.skip("no table")
+    got = {}
+    for r in sorted(chat.report(table).collect(), key=lambda r: r.line):
+        got.setdefault(r.conv_id, []).append(r.role)
+    true = {}
+    for r in sorted(table.collect(), key=lambda r: r.turn):
+        true.setdefault(r.conv_id, []).append(r.role)
+    right = [got[c] == true[c] for c in true]
+    print("conversations with all roles right:", sum(right), "of", len(right))
+    assert sum(right) >= 0.9 * len(right)
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     bad = ["grumbot", "snarfle", "blortish"]

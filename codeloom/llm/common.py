@@ -36,30 +36,55 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where it is unset, a temporary one in local mode, as in tests; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='codeloom-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`materialize` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/codeloom-" in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables written by :func:`materialize` that ``df`` reads, and that no later plan reads; others stay."""
+    names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    for path in [p for p in _made if p.rpartition("/")[2] in names]:
+        _delete(df.sparkSession, path)
+        _made.remove(path)
+
+
+def tables() -> set[str]:
+    """The tables that :func:`materialize` has written and nobody has deleted: a mark for :func:`release`."""
+    return set(_made)
+
+
+def release(spark: SparkSession, since: set[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Delete the tables written since a mark, but for those that ``keep`` reads.
+
+    An operator's result is lazy and reads some of them, so this is for the caller, once the result is written or counted.
+    """
+    stay = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    for path in [p for p in _made if p not in since and p.rpartition("/")[2] not in stay]:
+        _delete(spark, path)
+        _made.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,15 +1,12 @@
 """Line dedup by distinct-site spread.
 
-A line (its spaces at both ends cut off; blank lines never count) that occurs on ``SITES`` or more distinct sites is
-boilerplate. Each line hash (128 bits) has a HyperLogLog sketch of its sites, held as rows: one for each non-zero register,
+A line (its spaces at both ends cut off; blank lines never count) that occurs on ``SITES`` or more distinct sites, in as many different
+texts, is boilerplate. The texts protect copies: a text's own lines don't become boilerplate by its copies on other sites. Each line hash (128 bits) has a HyperLogLog sketch of its sites, held as rows: one for each non-zero register,
 merged by a plain maximum, so partial aggregation runs in the JVM before the shuffle and a hot line is never gathered
 in one task. Lines whose estimate is between half the threshold and ``band`` above it get an exact distinct
 count before anything is removed.
 
-Boilerplate goes from every document except the one of smallest doc_id that has it. With a ``share``, as in the report and its
-SQL, a document more than that share of whose characters would go is left whole, copy or not. With ``share=None``, as in the
-pipeline, boilerplate goes whatever its share; what protects copies is that a line must also be in as many different texts as
-sites, so a text's own lines don't become boilerplate by its copies.
+Boilerplate goes from every document except the one of smallest doc_id that has it, whatever its share of a text.
 
 Defined cases: a null text has no lines and stays null; a null site counts for no line; a null doc_id is a document
 like any other, but never the smallest unless all are null; repeated rows get equal results; an empty table gives an empty result; other
@@ -25,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pick
 
-SITES, REGISTERS, MOST_SHARE = 10, 1024, 0.5
+SITES, REGISTERS = 10, 1024
 
 
 def register(site: Column, registers: int = REGISTERS) -> tuple[Column, Column]:
@@ -54,8 +51,8 @@ def lines(rows: DataFrame, *columns: str) -> DataFrame:
     return exploded.select(*columns, "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
 
 
-def boilerplate(rows: DataFrame, sites: int = SITES, registers: int = REGISTERS, texts: int = 1) -> DataFrame:
-    """``a, b, first``: the hash of each boilerplate line, in ``texts`` or more different texts, and the smallest doc_id that has it."""
+def boilerplate(rows: DataFrame, sites: int = SITES, registers: int = REGISTERS) -> DataFrame:
+    """``a, b, first``: the hash of each boilerplate line, on ``sites`` or more sites in as many different texts, and the smallest doc_id that has it."""
     bucket, rank = register(F.col("site"), registers)
     # the register is found once for a document, not for each line
     marked = lines(rows.withColumn("bucket", bucket).withColumn("rank", rank), "doc_id", "bucket", "rank")
@@ -69,45 +66,37 @@ def boilerplate(rows: DataFrame, sites: int = SITES, registers: int = REGISTERS,
     exact = lines(rows.where("site is not null"), "site").join(near.select("a", "b", "first"), ["a", "b"]).groupBy("a", "b", "site").agg(F.min("first").alias("first"))
     exact = exact.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= sites)
     bad = found.where(F.col("estimate") > sites + band).select("a", "b", "first").union(exact.select("a", "b", "first"))
-    if texts <= 1:
-        return bad
     bad = materialize(bad, "spread")
     apart = lines(rows.where("site is not null"), "h").join(bad.select("a", "b"), ["a", "b"]).select("a", "b", "h").distinct()
-    return bad.join(apart.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= texts), ["a", "b"], "left_semi")
+    return bad.join(apart.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= sites), ["a", "b"], "left_semi")
 
 
-def strip(docs: DataFrame, sites: int = SITES, carry: dict[str, str] | None = None, share: float | None = MOST_SHARE) -> DataFrame:
-    """``doc_id, text, kept, n_lines, n_boilerplate, n_removed`` and carried columns (alias: name): every row, ``kept`` being the text without boilerplate."""
+def strip(docs: DataFrame, sites: int = SITES, carry: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id, text, kept, n_lines, n_removed`` and carried columns (alias: name): every row, ``kept`` being the text without boilerplate."""
     rows = keyed(docs, carry)
-    bad = materialize(boilerplate(rows, sites, texts=sites if share is None else 1), "boilerplate")
+    bad = materialize(boilerplate(rows, sites), "boilerplate")
     hits = lines(rows, "doc_id", "k", "h").join(bad, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     hits = hits.groupBy("k", "h").agg(F.collect_set("at").alias("at"))
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.array_contains("at", i))
-    gone = F.filter(split, lambda x, i: F.array_contains("at", i))
-    chars = F.aggregate(gone, F.lit(0), lambda n, x: n + F.length(x))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "at")  # hashed: linear in the lines
     out = rows.join(hits.hint("shuffle_hash"), ["k", "h"], "left")
-    out = out.withColumn("n_lines", F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0)).cast("long"))
-    out = out.withColumn("n_boilerplate", F.coalesce(F.size("at"), F.lit(0)).cast("long"))
-    out = out.withColumn("goes", F.col("at").isNotNull() & (F.lit(True) if share is None else chars <= share * F.length("text")))
     return out.select(
-        "doc_id", "text", F.when(F.col("goes"), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("kept"),
-        "n_lines", "n_boilerplate", F.when(F.col("goes"), F.col("n_boilerplate")).otherwise(F.lit(0)).cast("long").alias("n_removed"), *(carry or {}),
+        "doc_id", "text", F.when(F.col("at").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")).otherwise(F.col("text")).alias("kept"),
+        F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_removed"), *(carry or {}),
     )
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return strip(docs).select("doc_id", "n_lines", "n_boilerplate", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    return strip(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT r, doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
-b AS (SELECT trim(line) AS t, min(doc_id) AS first FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {SITES}),
-h AS (SELECT r, list(i) AS at_, sum(length(line)) AS chars FROM l JOIN b ON trim(line) = t WHERE doc_id IS DISTINCT FROM first GROUP BY r),
-g AS (SELECT d.*, at_, at_ IS NOT NULL AND chars <= {MOST_SHARE} * length(text) AS goes FROM d LEFT JOIN h USING (r))
-SELECT doc_id, CAST(coalesce(len(list_filter(ls, lambda x: trim(x) <> '')), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(at_), 0) AS BIGINT) AS n_boilerplate,
-  CAST(CASE WHEN goes THEN len(at_) ELSE 0 END AS BIGINT) AS n_removed,
-  sha256(coalesce(CASE WHEN goes THEN array_to_string(list_filter(ls, lambda x, i: NOT list_contains(at_, i)), chr(10)) ELSE text END, '')) AS kept_sha256
-FROM g
+l AS (SELECT r, doc_id, text, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+b AS (SELECT trim(line) AS t, min(doc_id) AS first FROM l WHERE trim(line) <> '' GROUP BY 1
+  HAVING count(DISTINCT source) >= {SITES} AND count(DISTINCT text) FILTER (source IS NOT NULL) >= {SITES}),
+h AS (SELECT r, list(i) AS at_ FROM l JOIN b ON trim(line) = t WHERE doc_id IS DISTINCT FROM first GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(list_filter(ls, lambda x: trim(x) <> '')), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(at_), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(CASE WHEN at_ IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(at_, i)), chr(10)) END, '')) AS kept_sha256
+FROM d LEFT JOIN h USING (r)
 """

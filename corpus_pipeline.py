@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, decontam, line_dedup, simhash, toxicity
-from codeloom.llm.common import materialize, pick, small_batches
+from codeloom.llm.common import discard, materialize, pick, release, small_batches, tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RANKS = "byte_bpe_multi_50k.tiktoken"
+NEAR = 6  # differing bits of near copies: further than in the query op9, whose 2 bits miss four of five texts that share 9 of 10 shingles
 REST = {c: c for c in COLUMNS[2:]}
 
 
@@ -32,14 +33,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are on many sites, in as many different texts, go, whatever their share; documents stay."""
-    kept = line_dedup.strip(pick(docs, **{c: c for c in COLUMNS}), carry={"lang": "lang", "source": "source"}, share=None)
+    kept = line_dedup.strip(pick(docs, **{c: c for c in COLUMNS}), carry={"lang": "lang", "source": "source"})
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     small_batches(spark)
-    return simhash.drop_copies(pick(docs, **{c: c for c in COLUMNS})).select(*COLUMNS)
+    return simhash.drop_copies(pick(docs, **{c: c for c in COLUMNS}), NEAR).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +70,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        mark = tables()
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, mark, docs)  # what the stage wrote on its way
+        discard(before)
     return docs

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from codeloom.llm import common
 
 
 def test_pipeline(spark, tmp_path):
@@ -31,7 +32,11 @@ def test_pipeline(spark, tmp_path):
     assert all((boiler in (t or "")) == (i == first) for i, t in seen["line_dedup"].items())
     assert set(seen["near_dedup"]) == set(seen["line_dedup"]) - {200, 201}
     assert set(seen["decontamination"]) == set(seen["near_dedup"]) - {202}
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    before = common.tables()
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(common.tables() - before) == 1  # only the result's own table is left
+    out = result.collect()
+    assert spark.read.parquet(f"{tmp_path}/documents.parquet").count() == len(texts)
     assert {x.doc_id for x in out} == set(seen["decontamination"]) and all(len(x.ids) == x.n_tokens for x in out)
 
 
@@ -53,3 +58,17 @@ def test_copies_without_id_go_and_other_texts_of_one_id_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(None, words(0)), (None, words(1)), (5, words(2)), (5, words(3)), (7, words(4))], key=str)
+
+
+def test_near_copies_go(spark):
+    r = random.Random(2)
+    draw = lambda: [f"w{r.randint(0, 9999)}" for _ in range(400)]
+    base = [draw() for _ in range(20)]
+    near = [[*b[:200], "changed", *b[201:]] for b in base]
+    texts = [" ".join(t) for t in [*base, *near]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    left = {x.doc_id for x in corpus_pipeline.drop_copies(spark, docs, "").collect()}
+    assert set(range(20)) <= left and len(left) <= 22
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, empty, "").count() == 0, name

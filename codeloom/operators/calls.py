@@ -114,4 +114,6 @@ def scope(g: Graph, callers: DataFrame, owners: DataFrame, names: DataFrame) ->
 def resolve_pending(g: Graph, changed: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> Graph:
     """P1, then P2 on what is left; within the scope of (callers, owners, names) if a change is given."""
     found = None if changed is None else cut(scope(g, *changed), "scope")
-    return resolve(resolve_direct(g, found), found)
+    g = resolve_direct(g, found)
+    g = g.replace(calls=cut(g.calls, "calls"), pending_call=cut(g.pending_call, "pending"))  # P2 reads them several times
+    return resolve(g, found)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..graph import Graph
+from ..graph import Graph, cut
 
 LANGUAGES = ("java", "js", "python", "go")
 NAMES = ("Java", "JavaScript", "Python", "Go")
@@ -198,19 +198,42 @@ def refs(t: Tables) -> DataFrame:
     return e
 
 
+_BUILT = {
+    "package": lambda t: t.region.select(_text("region.", _s(F.col("r_regionkey"))).alias("name"), F.lit("java").alias("language")),
+    "file": files, "type_node": types, "method": methods, "field": fields, "pending_call": pending, "code_chunk": chunks, "memory_item": memory_items,
+    "has_item": lambda t: memory_items(t).where("id not like '%7'").select(F.concat(F.lit("HAS_"), F.upper("label")).alias("rel"), "label", "id"),
+    "contains": contains, "defines": defines, "extends": extends, "declares": declares, "calls": calls, "annotated_with": annotated,
+    "implements": lambda t: t.supplier.select(_text("supplier.", _s(F.col("s_suppkey"))).alias("child"), _text("nation.", _s(F.col("s_nationkey"))).alias("parent")),
+    "code_ref": lambda t: refs(t).select("target_type", "key").distinct(),
+    "refers_to": lambda t: refs(t).select(F.lit("Context").alias("label"), _text("B", _s(F.col("event_id") % 40)).alias("id"), "target_type", "key").distinct(),
+}
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells a folder of tables from what it was before: names, sizes and times."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    t = Tables(spark, sf_dir)
+    """The graph of a folder of tables. Each graph table is written to the shared folder when it is first read, as the engine's store
+    has them, and serves all later queries of the application over the same files."""
+    t, at = Tables(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+
+    def table(name: str):
+        def read() -> DataFrame:
+            if (*at, name) not in _stored:
+                _stored[(*at, name)] = cut(_BUILT[name](t), name)
+            return _stored[(*at, name)]
+
+        return read
+
     return Graph(spark, {
         "language": lambda: spark.createDataFrame(list(zip(NAMES, LANGUAGES)), schema.struct("language")),
         "code": lambda: schema.conform(spark.createDataFrame(list(zip(LANGUAGES, NAMES)), "language string, language_name string"), "code"),
-        "package": lambda: t.region.select(_text("region.", _s(F.col("r_regionkey"))).alias("name"), F.lit("java").alias("language")),
-        "file": lambda: files(t), "type_node": lambda: types(t), "method": lambda: methods(t), "field": lambda: fields(t), "pending_call": lambda: pending(t), "code_chunk": lambda: chunks(t),
-        "memory_item": lambda: memory_items(t),
-        "has_item": lambda: memory_items(t).where("id not like '%7'").select(F.concat(F.lit("HAS_"), F.upper("label")).alias("rel"), "label", "id"),
-        "contains": lambda: contains(t), "defines": lambda: defines(t), "extends": lambda: extends(t), "declares": lambda: declares(t), "calls": lambda: calls(t), "annotated_with": lambda: annotated(t),
-        "implements": lambda: t.supplier.select(_text("supplier.", _s(F.col("s_suppkey"))).alias("child"), _text("nation.", _s(F.col("s_nationkey"))).alias("parent")),
-        "code_ref": lambda: refs(t).select("target_type", "key").distinct(),
-        "refers_to": lambda: refs(t).select(F.lit("Context").alias("label"), _text("B", _s(F.col("event_id") % 40)).alias("id"), "target_type", "key").distinct(),
+        **{name: table(name) for name in _BUILT},
     })
 
 

@@ -77,12 +77,11 @@ def strip(docs: DataFrame, sites: int = SITES, carry: dict[str, str] | None = No
     bad = materialize(boilerplate(rows, sites), "boilerplate")
     hits = lines(rows, "doc_id", "k", "h").join(bad, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     hits = hits.groupBy("k", "h").agg(F.collect_set("at").alias("at"))
-    split = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "at")  # hashed: linear in the lines
-    out = rows.join(hits.hint("shuffle_hash"), ["k", "h"], "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "at")  # hashed: linear in the lines
+    out = rows.join(hits.hint("shuffle_hash"), ["k", "h"], "left").withColumn("ls", F.split("text", "\n", -1))
     return out.select(
-        "doc_id", "text", F.when(F.col("at").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")).otherwise(F.col("text")).alias("kept"),
-        F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_removed"), *(carry or {}),
+        "doc_id", "text", F.when(F.col("at").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get("ls", i)), "\n")).otherwise(F.col("text")).alias("kept"),
+        F.coalesce(F.size(F.filter("ls", lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_removed"), *(carry or {}),
     )
 
 

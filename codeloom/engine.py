@@ -65,26 +65,35 @@ class Engine:
     def ingest(self, root: str, extra: DataFrame | None = None, incremental: bool = True) -> dict[str, int]:
         """Discovery, skip test, extraction, write, missing files, resolution, references, chunks."""
         with self.stats.phase("discover"):
-            files = cut(discovery.assign(discovery.walk(self.spark, root)), "files")
+            files = cut(discovery.assign(discovery.find(self.spark, root)), "files")
         g = self.graph
         todo = without(files, scans.unchanged(g, files), path="path") if incremental else files
         prefix = files.select(F.min(F.expr("substring(path, 1, length(path) - length(relative) - 1)")).alias("root")).first().root
         stored = g.file.where(scans.in_root(prefix)) if prefix else g.file.limit(0)
         missing = without(stored, files, path="path").select("path")
-        return self._apply(g, files, todo, missing, extra)
+        return self._apply(g, files, todo, missing, extra, root)
 
     def ingest_changed_files(self, root: str, paths: list[str], extra: DataFrame | None = None) -> dict[str, int]:
         """The same for given paths: those that exist are read anew, those that don't are removed."""
-        files = cut(discovery.assign(discovery.walk(self.spark, root)), "files")
+        files = cut(discovery.assign(discovery.find(self.spark, root)), "files")
         named = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        return self._apply(self.graph, files, within(files, named, path="path"), without(named, files, path="path"), extra)
+        return self._apply(self.graph, files, within(files, named, path="path"), without(named, files, path="path"), extra, root)
 
-    def _apply(self, g: Graph, files: DataFrame, todo: DataFrame, missing: DataFrame, extra: DataFrame | None) -> dict[str, int]:
+    def remove_files(self, paths: list[str]) -> dict[str, int]:
+        """Removes files and what only they define; nothing is read or resolved anew."""
+        g = self.graph
+        gone = within(g.file, self.spark.createDataFrame([(p,) for p in paths], "path string"), path="path").select("path")
+        gone = cut(gone, "missing")
+        self.store.commit(self.project, self.remove(g, gone, without(g.file, gone, path="path").select("path")))
+        return {"ingested": 0, "skipped": 0, "failed": 0, "removed": gone.count()}
+
+    def _apply(self, g: Graph, files: DataFrame, todo: DataFrame, missing: DataFrame, extra: DataFrame | None, root: str) -> dict[str, int]:
         todo, missing = cut(todo, "todo"), cut(missing, "missing")
         with self.stats.phase("extract"):
-            texts = cut(discovery.read_texts(todo).join(todo.select("path", "relative", "language"), "path"), "texts")
-            known = {"files": [r.relative for r in files.select("relative").toLocalIterator()]}  # names only, for imports
-            found = [records.extract(texts.where(F.col("language") == l), parse, known) for l, parse in PARSERS.items()]
+            texts = cut(discovery.read_texts(todo, root).join(todo.select("path", "relative", "language"), "path"), "texts")
+            own = {l: texts.where(F.col("language") == l) for l in PARSERS}
+            own["python"] = records.with_files(own["python"], files, python_ast.asked_files)
+            found = [records.extract(own[l], parse) for l, parse in PARSERS.items()]
             if extra is not None:
                 found.append(extra.select(*found[0].columns))
             recs = found[0]

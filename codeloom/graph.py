@@ -59,10 +59,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 class Store:
-    """Snapshots of projects as Parquet folders ``<root>/<project>/v<N>/<table>``.
+    """Snapshots of projects. ``<root>/<project>/snapshots/<N>.json`` names the folder of each table, ``tables/<table>-<id>`` hold them.
 
-    A commit writes a whole new version and then flips the pointer file, so readers see either snapshot and a failed run
-    leaves the old one. One writer for each project at a time.
+    A commit writes the tables that changed since the snapshot that the graph was read from, then renames its list to the next number, which
+    either happens or doesn't: readers see the last whole snapshot, a failed run leaves the old one, and a second writer that comes to the same number fails.
+    The last two snapshots stay readable.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -71,33 +72,53 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _versions(self, project: str) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names(f"{self.root}/{project}/snapshots") if n.endswith(".json") and n[:-5].isdigit())
+
     def version(self, project: str) -> int:
-        pointer = self._path(f"{self.root}/{project}/current")
-        if not self._fs.exists(pointer):
-            return 0
-        return json.loads(self.spark.sparkContext.wholeTextFiles(pointer.toString()).first()[1])["version"]
-
-    def read(self, project: str) -> Graph:
-        v = self.version(project)
-        if not v:
-            return Graph(self.spark)
-        base = f"{self.root}/{project}/v{v}"
-        return Graph(self.spark, {t: self.spark.read.schema(schema.struct(t)).parquet(f"{base}/{t}") for t in schema.TABLES if self._fs.exists(self._path(f"{base}/{t}"))})
+        return max(self._versions(project), default=0)
+
+    def _folders(self, project: str, version: int) -> dict[str, str]:
+        if not version:
+            return {}
+        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.root}/{project}/snapshots/{version}.json").first()[1])
+
+    def read(self, project: str, version: int | None = None) -> Graph:
+        folders = self._folders(project, self.version(project) if version is None else version)
+        tables = {t: self.spark.read.schema(schema.struct(t)).parquet(f"{self.root}/{project}/tables/{f}") for t, f in folders.items() if t in schema.TABLES}
+        for t, df in tables.items():
+            df._folder = (self.root, project, folders[t])  # what a commit need not write again
+        return Graph(self.spark, tables)
 
     def commit(self, project: str, graph: Graph) -> Graph:
-        v = self.version(project) + 1
-        base = f"{self.root}/{project}/v{v}"
+        base, version = f"{self.root}/{project}", self.version(project) + 1
+        folders = {}
         for name in list(graph.tables):
-            schema.conform(getattr(graph, name), name).write.mode("overwrite").parquet(f"{base}/{name}")
-        temporary, pointer = self._path(f"{self.root}/{project}/current.tmp"), self._path(f"{self.root}/{project}/current")
+            df = getattr(graph, name)
+            kept = getattr(df, "_folder", None)
+            if kept and kept[:2] == (self.root, project):
+                folders[name] = kept[2]
+            else:
+                folders[name] = f"{name}-{uuid.uuid4().hex}"
+                schema.conform(df, name).write.parquet(f"{base}/tables/{folders[name]}")
+        temporary, final = self._path(f"{base}/snapshots/{uuid.uuid4().hex}.tmp"), self._path(f"{base}/snapshots/{version}.json")
         out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
+        out.write(bytearray(json.dumps(folders).encode()))
         out.close()
-        self._fs.delete(pointer, False)
-        self._fs.rename(temporary, pointer)
-        old = self._path(f"{self.root}/{project}/v{v - 2}")
-        if v > 2 and self._fs.exists(old):
-            self._fs.delete(old, True)
+        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+            self._fs.delete(temporary, False)
+            raise RuntimeError(f"another run has written snapshot {version} of {project}")
+        versions = self._versions(project)
+        used = {f for v in versions[-2:] for f in self._folders(project, v).values()}
+        gone = {f for v in versions[:-2] for f in self._folders(project, v).values()} - used
+        for v in versions[:-2]:
+            self._fs.delete(self._path(f"{base}/snapshots/{v}.json"), False)
+        for f in gone:
+            self._fs.delete(self._path(f"{base}/tables/{f}"), True)
         return self.read(project)
 
     def drop(self, project: str | None = None) -> None:

@@ -16,7 +16,7 @@ from ..functions.text import simple_name
 from ..graph import Graph
 from . import rag
 from .hierarchy import closure
-from .merge import within
+from .merge import first_rows, within
 
 SINKS = ("run", "query", "write", "read", "save", "delete", "execute", "insert", "update", "send", "load", "store", "fetch", "flush")
 
@@ -150,8 +150,7 @@ def discovery_context(g: Graph, anchors: DataFrame, neighbours: int = 3) -> Data
     m = g.code_chunk.where("source_label = 'Method'").select("id", F.col("source_id").alias("anchor")).join(anchors.select("id"), "id")
     sides = m.join(g.calls.select(F.col("callee").alias("anchor"), F.col("caller").alias("signature"), "count"), "anchor").withColumn("side", F.lit("caller"))
     sides = sides.unionByName(m.join(g.calls.select(F.col("caller").alias("anchor"), F.col("callee").alias("signature"), "count"), "anchor").withColumn("side", F.lit("callee")))
-    top = sides.groupBy("anchor", "side").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "signature"))), 1, neighbours).alias("t"))
-    return top.select("anchor", "side", F.explode("t").alias("t")).select("anchor", "side", "t.signature", (-F.col("t.n")).alias("count"))
+    return first_rows(sides, ["anchor", "side"], [F.col("count").desc(), "signature"], neighbours).select("anchor", "side", "signature", "count")
 
 
 def flow_context(g: Graph, query: str, vector: list[float] | None = None, limit_files: int = 3) -> DataFrame:
@@ -172,9 +171,10 @@ def flow_context(g: Graph, query: str, vector: list[float] | None = None, limit_
 def lookup_type(g: Graph, name: str | None = None, fqn: str | None = None, members: bool = False, limit: int | None = 10) -> DataFrame:
     """Q9."""
     rows = g.type_node.where((F.col("name") == name) if fqn is None else (F.col("fqn") == fqn))
-    count = g.declares.groupBy(F.col("owner_label").alias("label"), F.col("owner_fqn").alias("fqn")).agg(F.count("*").alias("members"), F.array_sort(F.collect_list("member_key")).alias("member_keys"))
-    rows = rows.select("label", "fqn", "name", "kind", "visibility").join(count, ["label", "fqn"], "left").withColumn("members", F.coalesce("members", F.lit(0)))
-    return page(rows if members else rows.drop("member_keys"), ["fqn", "label"], limit)
+    rows = page(rows.select("label", "fqn", "name", "kind", "visibility"), ["fqn", "label"], limit)
+    own = within(g.declares, rows, owner_label="label", owner_fqn="fqn").groupBy(F.col("owner_label").alias("label"), F.col("owner_fqn").alias("fqn"))
+    count = own.agg(F.count("*").alias("members"), *([F.array_sort(F.collect_list("member_key")).alias("member_keys")] if members else []))  # the members of one type, if asked for
+    return rows.join(count, ["label", "fqn"], "left").withColumn("members", F.coalesce("members", F.lit(0)))
 
 
 def lookup_methods(g: Graph, fragment: str, skip: int = 0, limit: int | None = 10, include_tests: bool = False) -> DataFrame:
@@ -208,8 +208,8 @@ def file_context(g: Graph, fragments: list[str], symbols: int = 8, limit_files:
     files = page(g.file.where(hit).select("path", "language"), ["path"], limit_files)
     roles = g.code_chunk.groupBy("path").pivot("rag_role", ["file", "primary", "secondary", "synthetic"]).count()
     own = g.defines.join(files.select("path"), "path").join(g.method.select(F.lit("Method").alias("label"), F.col("signature").alias("key"), "start_line"), ["label", "key"], "left")
-    first = own.groupBy("path").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("start_line", F.lit(0)).alias("l"), "key"))), 1, symbols).alias("s"), F.count("*").alias("definitions"))
-    rows = files.join(roles, "path", "left").join(first, "path", "left").na.fill(0)
+    first = first_rows(own, ["path"], [F.coalesce("start_line", F.lit(0)), "key"], symbols).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("_rank", "key"))).alias("s"))
+    rows = files.join(roles, "path", "left").join(first, "path", "left").join(own.groupBy("path").agg(F.count("*").alias("definitions")), "path", "left").na.fill(0)
     return rows.select("path", "language", "definitions", "file", "primary", "secondary", "synthetic", F.transform("s", lambda x: x["key"]).alias("symbols"))
 
 
@@ -235,9 +235,10 @@ def method_context(g: Graph, fragment: str = "", methods: int | None = 5, neighb
     m = lookup_methods(g, fragment, limit=methods, include_tests=True).select("signature", "owner", "name")
     out = m
     for at, other in (("callee", "caller"), ("caller", "callee")):
-        side = g.calls.join(m.select(F.col("signature").alias(at)), at).groupBy(F.col(at).alias("signature")).agg(
-            F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), other))), 1, neighbours), lambda x: x[other]).alias(f"{other}s"), F.count("*").alias(f"n_{other}s")
-        )
+        own = g.calls.join(m.select(F.col("signature").alias(at)), at).select(F.col(at).alias("signature"), other, "count")
+        best = first_rows(own, ["signature"], [F.col("count").desc(), other], neighbours).groupBy("signature").agg(F.array_sort(F.collect_list(F.struct("_rank", other))).alias("t"))
+        side = own.groupBy("signature").agg(F.count("*").alias(f"n_{other}s")).join(best, "signature")
+        side = side.select("signature", F.transform("t", lambda x: x[other]).alias(f"{other}s"), f"n_{other}s")  # noqa: B023
         out = out.join(side, "signature", "left")
     return out.na.fill(0, ["n_callers", "n_callees"])
 

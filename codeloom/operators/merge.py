@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -54,6 +54,12 @@ def merge(stored: DataFrame, batch: DataFrame, keys: Iterable[str], definition:
     return both.select(*out)
 
 
+def first_rows(df: DataFrame, keys: Iterable[str], order: Iterable[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows of each key with their ``_rank``. Each task keeps n rows of a key before the shuffle, so a hot key is never gathered."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n)
+
+
 def add_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Edges are sets: the union without repeats."""
     return stored.unionByName(new.select(*stored.columns)).distinct()

@@ -18,7 +18,7 @@ from .. import schema
 from ..functions import text as tx
 from ..graph import Graph, cut
 from .deletes import delete_stale_memory_chunks
-from .merge import merge
+from .merge import first_rows, merge
 from .upserts import memory_chunks
 
 TABLE = {"code": "code_chunk", "memory": "memory_chunk"}
@@ -198,8 +198,7 @@ def search_all(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if held or out is None:
         part = flush(held) if held else chunks.limit(0).selectExpr("cast(null as long) query_id", "id", "cast(null as double) score")
         out = part if out is None else out.union(part)
-    ranked = out.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("top"))
-    return ranked.select("query_id", F.posexplode("top").alias("rank", "t")).select("query_id", (F.col("rank") + 1).alias("rank"), "t.id", (-F.col("t.s")).alias("score"))
+    return first_rows(out, ["query_id"], [F.col("score").desc(), "id"], k).select("query_id", F.col("_rank").alias("rank"), "id", "score")
 
 
 def code_chunks(g: Graph, texts: DataFrame) -> DataFrame:

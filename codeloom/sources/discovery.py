@@ -75,16 +75,30 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, relative string, last_modified long, size long")
 
 
+def _plain(path: Column) -> Column:
+    """A path without its scheme, from the root or the authority on."""
+    return F.regexp_replace(path, r"^[a-z0-9]+:/*(?=/)", "")
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """The same for any file system that Spark reads, listed by its executors; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-    path = F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", "")
-    prefix = root.split("://", 1)[-1].rstrip("/") + "/"
-    return files.select(path.alias("path"), F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:/*(?=/)', ''), {len(prefix) + 1})").alias("relative"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("last_modified"), F.col("length").alias("size"))
+    path, prefix = _plain(F.col("path")), root.split("://", 1)[-1].rstrip("/") + "/"
+    prefix = prefix if prefix.startswith("/") else "/" + prefix
+    return files.select(path.alias("path"), F.substring(path, F.lit(len(prefix) + 1), F.length(path)).alias("relative"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("last_modified"), F.col("length").alias("size"))
+
+
+def find(spark: SparkSession, root: str) -> DataFrame:
+    """A local folder is walked; a root with a scheme is listed by Spark."""
+    return listing(spark, root) if "://" in root else walk(spark, root)
 
 
-def read_texts(files: DataFrame) -> DataFrame:
-    """``path`` and the text of each file, read by the executors; unreadable files have a null text and an error."""
+def read_texts(files: DataFrame, root: str = "") -> DataFrame:
+    """``path, text, error`` of each file, read by the executors; unreadable files of a local folder have a null text and an error."""
+    if "://" in root:
+        raw = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_plain(F.col("path")).alias("path"), "content")
+        text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\r\n"), F.lit("\n"))
+        return raw.join(files.select("path"), "path", "left_semi").select("path", text.alias("text"), F.lit(None).cast("string").alias("error"))
 
     def run(batches):
         import pyarrow as pa

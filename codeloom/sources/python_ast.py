@@ -33,7 +33,7 @@ class _Module:
     def __init__(self, path: str, text: str, known: dict):
         self.path, self.tree = path, ast.parse(text)
         self.fqn, self.package = module_fqn("python", path), package_fqn("python", path)
-        self.files: set[str] = set(known.get("files", ()))
+        self.files = known.get("files", frozenset())
         self.rows: list[dict] = []
         self.functions: set[str] = {n.name for n in self.tree.body if isinstance(n, _FUNCTIONS)}
         self.classes: dict[str, str] = {}
@@ -211,6 +211,24 @@ class _Module:
         return self.rows
 
 
+class _Asked(set):
+    """No files; notes those that are looked for."""
+
+    def __contains__(self, name: object) -> bool:
+        self.add(name)
+        return False
+
+
+def asked_files(path: str, text: str) -> list[str]:
+    """The relative paths that imports of a file could name; none if it can't be parsed."""
+    asked = _Asked()
+    try:
+        _Module(path, text, {"files": asked}).run()
+    except (ValueError, SyntaxError, RecursionError):
+        return []
+    return sorted(asked)
+
+
 def parse(path: str, text: str, known: dict) -> list[dict]:
-    """The records of one file; ``known["files"]`` are the project's relative paths, which imports are looked up in."""
+    """The records of one file; ``known["files"]`` are relative paths of the project, those that :func:`asked_files` names at least."""
     return _Module(path, text, known).run()

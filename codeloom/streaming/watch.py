@@ -2,7 +2,8 @@
 
 Spark's file source can't see deletions, so the stream is a clock (``rate-micro-batch`` or any given stream), and each
 micro-batch lists the tree and hands created, changed and deleted paths to the engine. Paths of failed batches are kept in
-``pending`` and tried again with the next change; deletions are applied only in a batch without failures. Pending calls are
+``pending`` and tried again with the next change (a new watch finds them by comparing the tree with the stored graph); deletions are applied only in a batch without failures,
+or alone if a batch of nothing but deleted files fails. Pending calls are
 ordinary state of the graph and never expire, so no watermark is needed; only dirty chunks are embedded.
 """
 
@@ -39,16 +40,23 @@ class Watch:
     results: list[dict] = field(default_factory=list)
 
     def apply(self, _batch: DataFrame | None = None, _epoch: int = 0) -> None:
-        now = discovery.assign(discovery.walk(self.spark, self.root))
+        now = discovery.assign(discovery.find(self.spark, self.root))
         stored = self.engine.graph.file.select("path", "last_modified")
-        found = {r.path for r in changes(stored, now).toLocalIterator()}
-        todo = sorted(found | self.pending)
+        found = {r.path: r.change for r in changes(stored, now).toLocalIterator()}
+        todo = sorted(found.keys() | self.pending)
         if not todo:
             return
         try:
             result = self.engine.ingest_changed_files(self.root, todo)
         except Exception:
             LOG.exception("a watch batch failed; its files are tried again")
+            if all(found.get(p) == "deleted" for p in todo):  # none of the files is there: what they were can still go
+                try:
+                    self.results.append(self.engine.remove_files(todo))
+                    self.pending.clear()
+                    return
+                except Exception:
+                    LOG.exception("so did the removal")
             self.pending |= set(todo)
             self.results.append({"failed": len(todo)})
             return

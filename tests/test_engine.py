@@ -3,10 +3,13 @@
 import os
 import time
 
+import pytest
+
 from codeloom import schema
 from codeloom.engine import Engine
-from codeloom.graph import Graph
+from codeloom.graph import Graph, Store
 from codeloom.operators import rag
+from codeloom.sources import discovery, python_ast, records
 from codeloom.streaming.watch import Watch, changes
 
 BASE = "class Base:\n    def refresh(self):\n        pass\n\n\ndef helper():\n    return 1\n"
@@ -78,6 +81,51 @@ def test_ingest_again_and_change(spark, tmp_path):
     assert {r.metric: r.value for r in engine.metrics().collect()}["files"] == 2
 
 
+def test_store_writes_what_changed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path / 'store'}")
+    file = lambda *names: spark.createDataFrame([(n, 1, "python", "", "") for n in names], schema.struct("file"))
+    package = spark.createDataFrame([("p", "java")], schema.struct("package"))
+    first = store.commit("demo", Graph(spark, {"file": file("a"), "package": package}))
+    folders = store._folders("demo", 1)
+    second = store.commit("demo", first.replace(file=file("a", "b")))
+    assert store._folders("demo", 2)["package"] == folders["package"] and store._folders("demo", 2)["file"] != folders["file"]
+    assert store.read("demo", 1).file.count() == 1 and second.file.count() == 2 and second.package.count() == 1
+    store.version = lambda project: 1  # a writer that doesn't know of the second snapshot
+    with pytest.raises(RuntimeError):
+        store.commit("demo", first)
+    del store.version
+    assert store.read("demo").file.count() == 2
+    third = store.commit("demo", second.replace(file=file("c")))
+    assert [r.path for r in third.file.collect()] == ["c"] and store._versions("demo") == [2, 3] and third.package.count() == 1
+    assert folders["file"] not in os.listdir(tmp_path / "store/demo/tables") and folders["package"] in os.listdir(tmp_path / "store/demo/tables")
+    store.drop()
+    assert store.version("demo") == 0 and not store.read("demo").tables
+
+
+def test_listed_tree_is_as_the_walked_one(spark, tmp_path):
+    root = str(tmp_path / "src")
+    tree(root, **{"pkg__base.py": BASE, "pkg__service.py": SERVICE, "build__x.py": BASE})
+    a, b = (discovery.assign(discovery.find(spark, r)) for r in (root, f"file://{root}"))
+    assert rows(a) == rows(b) and a.count() == 2
+    texts = [rows(discovery.read_texts(f, r)) for f, r in ((a, root), (b, f"file://{root}"))]
+    assert texts[0] == texts[1] and {t[1] for t in texts[0]} == {BASE, SERVICE}
+    found = records.with_files(discovery.read_texts(a, root).join(a.select("path", "relative"), "path"), a, python_ast.asked_files)
+    assert {r.relative: r.files for r in found.collect()} == {"pkg/base.py": None, "pkg/service.py": ["pkg/base.py"]}
+
+
+def test_watch_of_deleted_files_alone(spark, tmp_path):
+    root = str(tmp_path / "src")
+    os.makedirs(root)
+    engine = Recorder(spark)
+    gone = os.path.join(root, "gone.py")
+    engine.files = [(gone, 1, "python", "", "")]
+    removed = []
+    engine.remove_files = lambda paths: removed.extend(paths) or {"ingested": 0, "skipped": 0, "failed": 0, "removed": len(paths)}
+    watch = Watch(spark, engine, root)
+    watch.apply()  # the recorder's first batch fails
+    assert removed == [gone] and watch.results == [{"ingested": 0, "skipped": 0, "failed": 0, "removed": 1}] and not watch.pending
+
+
 class Recorder:
     """An engine that notes what it is asked to do, and fails at first."""
 

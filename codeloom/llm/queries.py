@@ -53,4 +53,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_tiff_media, op3_suffix_dedup, op4_chat_format, op5_toxicity, op6_line_dedup, op7_decontamination, op8_quality, op9_simhash, op10_secrets)}
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL, "op7_decontamination": decontam.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": suffix_dedup.SQL, "op6_line_dedup": line_dedup.SQL, "op7_decontamination": decontam.SQL}

@@ -48,7 +48,7 @@ SEGMENT, FLUSH = 1 << 19, 500_000
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 1 << 18  # their splitters go to all tasks: 8 MB; beyond 2 TB of text buckets grow
 HOT = 4096  # suffixes of one lead that are compared in one partition
-SAMPLE = 256  # suffixes for each splitter
+SAMPLE = 48  # suffixes for each splitter
 LOW48 = np.uint64((1 << 48) - 1)
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -610,3 +610,19 @@ def dedup(docs: DataFrame, with_text: bool = True, bucket_bytes: int = BUCKET_BY
 
 def report(docs: DataFrame) -> DataFrame:
     return dedup(docs, False).select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
+# Bytes as hexadecimal digits; windows are cut from blocks of 256, since substr counts from the start of its text.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {LAST}) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS (SELECT r, k, j, substr(h, 2 * j + 1, {2 * (255 + WINDOW)}) AS h FROM (SELECT r, k, h, unnest(range(0, len(h) // 2 - {WINDOW - 1}, 256)) AS j FROM d)),
+w AS (SELECT r, k, j + i AS i, substr(h, 2 * i + 1, {2 * WINDOW}) AS s FROM (SELECT r, k, j, h, unnest(range(0, len(h) // 2 - {WINDOW - 1})) AS i FROM block)),
+least_ AS (SELECT s, min(k) AS m FROM w GROUP BY s),
+hit AS (SELECT r, i FROM w JOIN least_ USING (s) WHERE k > m),
+isle AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {WINDOW} THEN 0 ELSE 1 END AS new FROM hit)),
+span AS (SELECT r, g, min(i) AS a, max(i) + {WINDOW} AS b FROM isle GROUP BY r, g),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM span),
+kept AS (SELECT r, count(*) AS n, sum(b - a) AS gone, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -218,7 +218,6 @@ def _worker_encoder(table: PerfectHash, pattern: str, plain: str) -> Encoder:
     if key not in kept:
         kept.clear()
         kept[key] = Encoder(table, pattern, plain)
-    gc.disable()  # the memo has no cycles, and is long to walk
     return kept[key]
 
 
@@ -231,10 +230,14 @@ def _map(docs: DataFrame, ranks_path: str, pattern: str, fields: str, columns, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(table, pattern, plain)
-        for batch in batches:
-            if batch.num_rows:
-                texts = batch.column(0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns(encoder, (t.as_py() for t in texts))], names=names)
+        gc.disable()  # the memo has no cycles, and is long to walk
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    texts = batch.column(0)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns(encoder, (t.as_py() for t in texts))], names=names)
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(run, schema)
 

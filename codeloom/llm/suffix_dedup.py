@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,13 +45,14 @@ from .common import discard, materialize, pick, trim
 
 WINDOW, GRAM = 50, 22
 OFFSETS = WINDOW - GRAM + 1  # where in its window a minimizer can be
-SEGMENT, FLUSH = 1 << 19, 500_000
+SEGMENT, BUFFER, FLUSH = 1 << 19, 1 << 17, 1_000_000
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 1 << 18  # their splitters go to all tasks: 8 MB; beyond 2 TB of text buckets grow
-HOT = 4096  # suffixes of one lead that are compared in one partition
+HOT = 1 << 16  # suffixes of one lead that are compared in one partition, some 10 MB
 SAMPLE = 48  # suffixes for each splitter
 LOW48 = np.uint64((1 << 48) - 1)
 LAST = (1 << 63) - 1
+FIRST = np.int64(-1 << 63)  # key and tag of a splitter at the beginning of its lead
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -141,59 +143,88 @@ def _join(parts: list[Runs]) -> Runs:
 _WIDTHS = {"lead": 6, "whole": 8}
 
 
-def _pack(runs: Runs) -> bytes:
-    """Runs, ordered by document and place, as bytes: places as differences, compressed; tokens as they are."""
-    runs = runs.at(np.lexsort((runs.first, runs.tag, runs.key)))
+def _packs(runs: Runs, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Runs, ordered by bucket, document and place, as bytes for each bucket: places as differences, compressed; tokens as they are.
+
+    There are as many of these as tasks times buckets, so each costs a few slices only.
+    """
     key, tag, first, size = runs[:4]
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])
+    n = len(key)
+    head = np.r_[True, bucket[1:] != bucket[:-1]]
+    new = head | np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])]
     step = np.diff(first, prepend=0)
     step[new] = first[new]
+    docs, heads = np.flatnonzero(new), np.flatnonzero(head)
+    cuts, doc_cuts = [*heads.tolist(), n], [*np.searchsorted(docs, heads).tolist(), len(docs)]
     more = (runs.skip is not None) + (runs.lead is not None)
-    plain = [np.array([len(key), len(new), more], np.int64), key[new].astype(np.int64), tag[new].astype(np.int64), np.diff(np.r_[new, len(key)]).astype(np.int32), step.astype(np.int64), size.astype(np.int32)]
-    if more:
-        plain.append(runs.skip.astype(np.uint8))
-    packed = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in plain))
-    tail = b"".join(np.ascontiguousarray(getattr(runs, c).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]).tobytes() for c, w in _WIDTHS.items()) if more > 1 else b""
-    return len(packed).to_bytes(8, "little") + packed + tail
-
-
-def _unpack(blob: bytes) -> Runs:
-    cut = 8 + int.from_bytes(blob[:8], "little")
-    plain = zstandard.ZstdDecompressor().decompress(blob[8:cut])
-    n, d, more = np.frombuffer(plain, np.int64, 3).tolist()
-    at = 24
-    out = []
-    for kind, m in ((np.int64, d), (np.int64, d), (np.int32, d), (np.int64, n), (np.int32, n)):
-        out.append(np.frombuffer(plain, kind, m, at))
-        at += out[-1].nbytes
-    key, tag, count, step, size = out
+    by_doc = [(x.itemsize, memoryview(x.tobytes())) for x in (key[docs].astype(np.int64), tag[docs].astype(np.int64), np.diff(np.r_[docs, n]).astype(np.int32))]
+    by_run = [(x.itemsize, memoryview(x.tobytes())) for x in (step.astype(np.int64), size.astype(np.int32), *([runs.skip.astype(np.uint8)] if more else []))]
+    tokens = [(w, memoryview(np.ascontiguousarray(getattr(runs, c).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]).tobytes())) for c, w in _WIDTHS.items()] if more > 1 else []
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for j, b in enumerate(bucket[heads].tolist()):
+        x, y, u, v = cuts[j], cuts[j + 1], doc_cuts[j], doc_cuts[j + 1]
+        packed = compress(b"".join((struct.pack("<3q", y - x, v - u, more), *(m[w * u : w * v] for w, m in by_doc), *(m[w * x : w * y] for w, m in by_run))))
+        yield b, b"".join((len(packed).to_bytes(8, "little"), packed, *(m[w * x : w * y] for w, m in tokens)))
+
+
+def _by_place(runs: Runs) -> np.ndarray:
+    return np.lexsort((runs.first, runs.tag, runs.key))
+
+
+def _pack(runs: Runs) -> bytes:
+    runs = runs.at(_by_place(runs))
+    return next(_packs(runs, np.zeros(len(runs), np.int64)))[1]
+
+
+def _unpack(*blobs: bytes) -> Runs:
+    """The runs of blobs of one kind."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    columns: list[list] = [[] for _ in range(8)]
+    more = 0
+    for blob in blobs:
+        view = memoryview(blob)
+        cut = 8 + int.from_bytes(view[:8], "little")
+        plain = memoryview(decompress(view[8:cut]))
+        n, d, more = struct.unpack_from("<3q", plain)
+        at = 24
+        for column, wide in zip(columns, (8 * d, 8 * d, 4 * d, 8 * n, 4 * n, n if more else 0)):
+            column.append(plain[at : at + wide])
+            at += wide
+        if more > 1:
+            for column, w in zip(columns[6:], _WIDTHS.values()):
+                column.append(view[cut : cut + w * n])
+                cut += w * n
+    key, tag, count, step, size = (np.frombuffer(b"".join(x), kind) for x, kind in zip(columns, (np.int64, np.int64, np.int32, np.int64, np.int32)))
     total = np.cumsum(step, dtype=np.int64)
     begins = np.cumsum(count) - count
-    base = total[begins] - step[begins] if d else total[:0]
+    base = total[begins] - step[begins]
     found = [np.repeat(key, count), np.repeat(tag, count), total - np.repeat(base, count), size.astype(np.int64)]
     if more:
-        found.append(np.frombuffer(plain, np.uint8, n, at).astype(np.int64))
+        found.append(np.frombuffer(b"".join(columns[5]), np.uint8).astype(np.int64))
     if more > 1:
-        for w in _WIDTHS.values():
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :w] = np.frombuffer(blob, np.uint8, w * n, cut).reshape(n, w)
+        for column, w in zip(columns[6:], _WIDTHS.values()):
+            wide = np.zeros((len(size), 8), np.uint8)
+            wide[:, :w] = np.frombuffer(b"".join(column), np.uint8).reshape(-1, w)
             found.append(wide.view("<u8").ravel().astype(np.uint64))
-            cut += w * n
     return Runs(*found)
 
 
+def _token_order(runs: Runs) -> np.ndarray:
+    """Order by (lead, whole, key, tag); most leads are unique, only the others need the rest."""
+    order = np.argsort(runs.lead)
+    lead = runs.lead[order]
+    same = lead[1:] == lead[:-1]
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((runs.tag[rows], runs.key[rows], runs.whole[rows], lead[tied]))]
+    return order
+
+
 def _bucket_of(key: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of a document."""
     return (_mix(key.astype(np.uint64) * np.uint64(_BASE) ^ tag.astype(np.int64).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _by_bucket(bucket: np.ndarray):
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(bucket) else []
-    for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)].astype(int) if len(bucket) else []):
-        yield int(bucket[order[a]]), order[a:b]
-
-
 # Packed runs. By bucket of leads: TOKENS; by bucket of documents: GONE (settled), ASK_LEADS and ASK_WINDOWS (to compare);
 # by partition of windows: OPEN (equal to its first window) and EDGE (its first and last window).
 TOKENS, GONE, ASK_LEADS, ASK_WINDOWS, OPEN, EDGE = range(6)
@@ -207,7 +238,12 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _documents(runs: Runs, kind: int, buckets: int) -> list[tuple[int, int, bytes]]:
-    return [(b, kind, _pack(runs.at(i))) for b, i in _by_bucket(_bucket_of(runs.key, runs.tag, buckets))] if len(runs) else []
+    if not len(runs):
+        return []
+    order = _by_place(runs)
+    bucket = _bucket_of(runs.key, runs.tag, buckets)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    return [(b, kind, data) for b, data in _packs(runs.at(order), bucket[order])]
 
 
 def _segments(batches: Iterator[pa.RecordBatch], minimizers: Minimizers) -> Iterator[Runs]:
@@ -236,7 +272,7 @@ def _segments(batches: Iterator[pa.RecordBatch], minimizers: Minimizers) -> Iter
                     size = 0
                 units.append((key, tag, at, part))
                 size += len(part)
-            if size >= SEGMENT:
+            if size >= BUFFER:  # small, so that arrays stay in the cache
                 yield measure()
                 size = 0
     if units:
@@ -259,7 +295,10 @@ def _draw(thin: int):
 
 
 class Splitters(NamedTuple):
-    """Bounds of the buckets of leads: bucket b holds the suffixes from splitter b - 1 on and before splitter b."""
+    """Bounds of the buckets of leads: bucket b holds the suffixes from splitter b - 1 on and before splitter b.
+
+    A splitter goes to the beginning of its lead, unless that fills about half a bucket or more.
+    """
 
     lead: np.ndarray
     whole: np.ndarray
@@ -268,10 +307,14 @@ class Splitters(NamedTuple):
 
     @staticmethod
     def of(lead: np.ndarray, whole: np.ndarray, key: np.ndarray, tag: np.ndarray, buckets: int) -> Splitters:
-        order = np.lexsort((tag, key, whole, lead))
+        order, some = np.lexsort((tag, key, whole, lead)), lead
         pick_ = order[np.unique(np.linspace(0, len(order), buckets + 1).astype(int)[1:-1])] if len(order) else order
         found = np.unique(np.stack([lead[pick_], whole[pick_], key[pick_].view(np.uint64), tag[pick_].view(np.uint64)], 1), axis=0) if len(pick_) else np.empty((0, 4), np.uint64)
         lead, whole, key, tag = found[:, 0], found[:, 1], found[:, 2].view(np.int64), found[:, 3].view(np.int64)
+        drawn = np.sort(some)
+        few = np.searchsorted(drawn, lead, "right") - np.searchsorted(drawn, lead) < SAMPLE // 2
+        found = np.unique(np.stack([lead, *(np.where(few, least, x).view(np.uint64) for x, least in ((whole, np.uint64(0)), (key, FIRST), (tag, FIRST)))], 1), axis=0)
+        lead, whole, key, tag = found[:, 0], found[:, 1], found[:, 2].view(np.int64), found[:, 3].view(np.int64)
         order = np.lexsort((tag, key, whole, lead))
         return Splitters(*(np.ascontiguousarray(x[order]) for x in (lead, whole, key, tag)))
 
@@ -287,7 +330,8 @@ class Splitters(NamedTuple):
 
     def cut_leads(self, bucket: int) -> np.ndarray:
         """The leads of a bucket that others may have too."""
-        return self.lead[max(0, bucket - 1) : bucket + 1]
+        near = slice(max(0, bucket - 1), bucket + 1)
+        return self.lead[near][(self.whole[near] != 0) | (self.key[near] != FIRST) | (self.tag[near] != FIRST)]
 
 
 def _list_runs(splitters: Splitters, buckets: int):
@@ -300,13 +344,15 @@ def _list_runs(splitters: Splitters, buckets: int):
             held.clear()
             if not len(runs):
                 return _rows([])
-            runs = runs.at(np.lexsort((runs.tag, runs.key, runs.whole, runs.lead)))
+            order = _token_order(runs)
+            runs = runs.at(order)
             new = np.r_[True, (runs.lead[1:] != runs.lead[:-1]) | (runs.whole[1:] != runs.whole[:-1])]
             gone = runs.key > runs.key[new][np.cumsum(new) - 1]
             rows = _documents(runs.at(gone).plain(), GONE, buckets)
-            runs = runs.at(~gone)
-            cuts = [0, *splitters.cuts(runs).tolist(), len(runs)]
-            rows += [(b, TOKENS, _pack(runs.at(slice(x, y)))) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+            runs, order = runs.at(~gone), order[~gone]
+            bucket = np.repeat(np.arange(len(splitters.lead) + 1), np.diff(np.r_[0, splitters.cuts(runs), len(runs)]))
+            place = np.argsort(bucket << 32 | order)  # as listed: by document and place
+            rows += [(b, TOKENS, data) for b, data in _packs(runs.at(place), bucket[place])]
             return _rows(rows)
 
         for runs in _segments(batches, minimizers):
@@ -329,15 +375,15 @@ def _settle(splitters: Splitters, buckets: int, hot: int):
             for b, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if kind == TOKENS:
                     bucket = b
-                    parts.append(_unpack(data.as_py()))
+                    parts.append(data.as_py())
                 else:
                     rows.append((b, kind, data.as_py()))
             if rows:
                 yield _rows(rows)
         if parts:
-            runs = _join(parts)
+            runs = _unpack(*parts)
             parts.clear()
-            runs = runs.at(np.lexsort((runs.tag, runs.key, runs.whole, runs.lead)))
+            runs = runs.at(_token_order(runs))
             new_lead = np.r_[True, runs.lead[1:] != runs.lead[:-1]]
             new = new_lead | np.r_[True, runs.whole[1:] != runs.whole[:-1]]
             gone = runs.key > runs.key[new][np.cumsum(new) - 1]
@@ -373,7 +419,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in SUFFIXES.split(", ")]
     out: list[list] = [[] for _ in names]
     owner, whole = None, b""
-    runs = [(single, _unpack(data)) for single, data in asked]
+    runs = [(single, _unpack(*some)) for single in (False, True) if (some := [data for s, data in asked if s == single])]
     asked.clear()
     flat = sorted((k, tag, first, size, skip, single) for single, r in runs for k, tag, first, size, skip in zip(*(x.tolist() for x in r[:5])))
     runs.clear()
@@ -400,7 +446,7 @@ def multikey_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Multikey quicksort with wide symbols: rows are parted by their first symbol; only parts of several rows go on to the
     next one.
     """
-    order = np.argsort(symbols[:, 0], kind="stable")
+    order = np.argsort(symbols[:, 0])
     same = symbols[order[1:], 0] == symbols[order[:-1], 0]
     for level in range(1, symbols.shape[1]):
         open_ = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
@@ -523,10 +569,10 @@ def _remove(with_text: bool):
         docs, parts = [], []
         for batch in batches:
             for kind, doc_id, k, tag, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc_id", "k", "tag", "data"))):
-                docs.append((doc_id, k, tag, data)) if kind < 0 else parts.append(_unpack(data))
+                docs.append((doc_id, k, tag, data)) if kind < 0 else parts.append(data)
         spans: dict[tuple[int, int], tuple] = {}
         if parts:
-            runs = _join(parts)
+            runs = _unpack(*parts)
             parts.clear()
             runs = runs.at(np.lexsort((runs.tag, runs.key)))
             cuts = np.flatnonzero(np.r_[True, (runs.key[1:] != runs.key[:-1]) | (runs.tag[1:] != runs.tag[:-1])])

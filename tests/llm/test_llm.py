@@ -123,6 +123,48 @@ def test_suffix_dedup_of_one_lead_in_many_runs(spark):
     assert out.where("doc_id is null and n_bytes - n_removed between 1 and 4").count() == 2000
 
 
+def test_suffix_dedup_compares_frequent_leads_as_suffixes(spark, monkeypatch):
+    """A lead of some 5,000 different runs is a row for each suffix to compare, not for each window, wherever the splitters fall."""
+    from pyspark.sql import functions as F
+
+    n, counts, real = 5_000, {}, suffix_dedup.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counted)
+    made = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("a passage that is in all of the documents, of sixty letters."), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    got = suffix_dedup.dedup(made, with_text=False).select("doc_id", "n_removed").orderBy("doc_id").collect()
+    assert got[0].n_removed == 0 and all(r.n_removed >= 60 for r in got[1:])
+    assert counts["suffixes"] <= 6 * n
+
+
+def test_suffix_dedup_splitters_leave_leads_whole():
+    lead, whole = np.repeat(np.arange(1, 200, dtype=np.uint64), 20), np.arange(20 * 199, dtype=np.uint64)
+    of = lambda *x: suffix_dedup.Splitters.of(*x, np.arange(len(x[0])), np.zeros(len(x[0]), np.int64), 48)
+    found = of(lead, whole)
+    assert len(found.lead) == 47 and not any(len(found.cut_leads(b)) for b in range(48))
+    runs = suffix_dedup.Runs(np.arange(len(lead)), np.zeros(len(lead), np.int64), whole, whole, whole, lead, whole)
+    cuts = found.cuts(runs)
+    assert (lead[cuts] != lead[cuts - 1]).all()
+    found = of(np.r_[lead, np.full(2000, 77, np.uint64)], np.arange(20 * 199 + 2000, dtype=np.uint64))  # fills buckets: cut
+    assert {*np.concatenate([found.cut_leads(b) for b in range(48)]).tolist()} == {77}
+
+
+def test_suffix_dedup_packs():
+    """Blobs of many buckets, read together, give the runs that went in."""
+    draw = np.random.RandomState(1)
+    n = 3_000
+    runs = suffix_dedup.Runs(draw.randint(0, 90, n), draw.randint(-5, 5, n), draw.randint(0, 1 << 40, n), draw.randint(50, 79, n), draw.randint(0, 29, n), draw.randint(0, 1 << 48, n).astype(np.uint64), draw.randint(0, 1 << 62, n).astype(np.uint64))
+    rows_of = lambda r: sorted(zip(*(x.tolist() for x in r if x is not None)))
+    for some in (runs, runs.asked(), runs.plain()):
+        blobs = suffix_dedup._documents(some, suffix_dedup.GONE, 70)
+        assert rows_of(suffix_dedup._unpack(*(data for _, _, data in blobs))) == rows_of(some)
+        assert len({b for b, _, _ in blobs}) == len(blobs) and all((suffix_dedup._bucket_of(*suffix_dedup._unpack(data)[:2], 70) == b).all() for b, _, data in blobs)
+
+
 def test_suffix_dedup_carry():
     import json
 

@@ -90,3 +90,18 @@ def test_all_chunks(spark):
     got = __spark_entry__.queries()["v12_code_chunk_text_all"](spark, SF).select("source_label", "source_id", "path").collect()
     want = [(r.label, r.key, r.path) for r in g.defines.collect()] + [("File", r.path, r.path) for r in g.file.select("path").union(g.code_chunk.select("path")).collect()]
     assert sorted(tuple(r) for r in got) == sorted(want) and {"Method", "Field", "Class", "File"} <= {r.source_label for r in got}
+
+
+def test_search_ties_are_those_of_the_rounded_score(spark, tmp_path):
+    """Scores that SQL shows as equal are ties by id, however their further places differ."""
+    near = [[1.0, 1e-6 * (40 - i)] for i in range(40)]  # the later, the nearer to the query; all round to 1
+    spark.createDataFrame([(i, v, i % 2) for i, v in enumerate([[1.0, 0.0], *near])], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for t in set(TABLES) - {"embeddings"}:
+        os.symlink(f"{SF}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'embeddings' else ''}'")
+    for name in ("v11_vector_search", "v11_vector_search_filter_after", "q23_memory_search"):
+        df = __spark_entry__.queries()[name](spark, str(tmp_path))
+        want = rows(con.execute(__spark_entry__.oracle_sql()[name]), df.columns)
+        assert sorted(str([r[c] for c in df.columns]) for r in df.collect()) == want and want, name

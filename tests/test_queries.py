@@ -101,7 +101,7 @@ def test_search_ties_are_those_of_the_rounded_score(spark, tmp_path):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'embeddings' else ''}'")
-    for name in ("v11_vector_search", "v11_vector_search_filter_after", "q23_memory_search"):
+    for name in ("v11_vector_search", "v11_vector_search_filter_after", "q5_code_search", "q23_memory_search"):
         df = __spark_entry__.queries()[name](spark, str(tmp_path))
         want = rows(con.execute(__spark_entry__.oracle_sql()[name]), df.columns)
         assert sorted(str([r[c] for c in df.columns]) for r in df.collect()) == want and want, name

@@ -109,3 +109,17 @@ def test_names_and_tags():
 def test_metric_table():
     table = metrics.table([("files", 3), ("calls", 1200)])
     assert metrics.same_table(table, table.replace("  ", " ")) and not metrics.same_table(table, metrics.table([("files", 4)]))
+
+
+def test_excerpts_split_a_text_once(spark):
+    """A text split in a lambda is split for each line."""
+    from pyspark.sql import functions as F
+
+    from codeloom.functions import text as tx
+
+    text = "/* a\n b */\n\nint f() {\n}\n# x\n\n\ng"
+    df = spark.createDataFrame([(text, 4, 5), (text, 9, 0), (text, 0, 0), (text, 40, 99), (text, 1, 3)], "text string, start_line int, end_line int").withColumn("lines", F.split("text", "\n", -1))
+    found = tx.with_excerpt(df, "body", 6)
+    assert [r.body for r in found.collect()] == ["/* a\n b */\n\nint f() {\n}", "# x\n\n\ng", "/* a", "# x\n\n\ng", "/* a\n b */\n"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 1

@@ -105,3 +105,21 @@ def test_search_ties_are_those_of_the_rounded_score(spark, tmp_path):
         df = __spark_entry__.queries()[name](spark, str(tmp_path))
         want = rows(con.execute(__spark_entry__.oracle_sql()[name]), df.columns)
         assert sorted(str([r[c] for c in df.columns]) for r in df.collect()) == want and want, name
+
+
+def _written(spark):
+    from codeloom.graph import shared_dir
+
+    return {f for f in os.listdir(shared_dir(spark).removeprefix("file://")) if f.startswith("graph-")}
+
+
+def test_a_query_writes_only_what_it_reads_in_several_jobs(spark):
+    """Tables of the graph are plans; a table that is read once, or not at all, isn't stored."""
+    before = _written(spark)
+    for name in ("q1_server_status", "u9b_upsert_interface_fields", "q17_operation_hot_paths", "q15_method_context"):
+        __spark_entry__.queries()[name](spark, SF).collect()
+    assert _written(spark) == before
+    plan = projection.defines(projection.Tables(spark, SF))
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(") <= 2  # line items and orders, by order

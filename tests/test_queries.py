@@ -123,3 +123,10 @@ def test_a_query_writes_only_what_it_reads_in_several_jobs(spark):
     plan.collect()
     final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("Exchange hashpartitioning(") <= 2  # line items and orders, by order
+
+
+def test_calls_are_resolved_without_writing_them(spark):
+    """Neither tier reads calls: what both settle is added in one aggregation, and no table of calls is written."""
+    before = _written(spark)
+    df = __spark_entry__.queries()["p2_resolve_pending_calls"](spark, SF)
+    assert not [f for f in _written(spark) - before if f.startswith("graph-calls-")] and df.count()
